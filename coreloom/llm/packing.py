@@ -1,6 +1,6 @@
 """Best-fit packing by patterns fitted with non-negative least squares.
 
-1. Documents become token ids (word-level cache in front of the tokenizer) and pieces of
+1. Documents become token ids (each distinct word is encoded once) and pieces of
    at most ``SEQUENCE`` tokens; the pieces' lengths, checksums and their rank among the
    pieces of one length in a partition are written once.
 2. The histogram of lengths (at most 2,048 numbers, whatever the data) goes to the driver.
@@ -18,8 +18,10 @@ documents of their own; an empty table gives an empty one; other columns are ign
 
 from __future__ import annotations
 
+import array
 import bisect
 import itertools
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -37,34 +39,63 @@ from coreloom.llm.util import read_table, written
 SEQUENCE = 2048
 STEP = 8
 END_ID = 0
-#: Words that a worker's cache holds at most; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+#: Words, and pre-tokens, that a worker's caches hold at most; beyond it a cache starts anew.
+CACHE_WORDS = 500_000
 
 _encoders: dict = {}
 
 
+def byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others
+    for the characters from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Token ids of texts, as bytes of little-endian 32-bit numbers.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those
-    of its words one after the other; each distinct word is encoded once."""
+    The tokenizer drops white space, never joins across it and encodes each of its
+    pre-tokens by itself, so a text's ids are those of its words one after the other, and a
+    word's those of its pre-tokens. Each distinct word is cut once and each distinct
+    pre-token encoded once. Words of common Latin characters are cut by the pre-tokenizer's
+    own pattern; others are left to the whole tokenizer."""
+
+    _PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.letters = byte_letters()
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, p: str) -> bytes:
+        found = self.parts.get(p)
+        if found is None:
+            ids = [t.id for t in self.tokenizer.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]
+            found = self.parts[p] = array.array("I", ids).tobytes()
+        return found
+
+    def _learn(self, new: set[bytes]) -> None:
+        plain, cut, part, words = self._PLAIN.fullmatch, self._PARTS.findall, self._part, self.words
+        for w in new:
+            s = w.decode()
+            if plain(s) and "<|" not in s:
+                words[w] = b"".join(map(part, cut(s.lower())))
+            else:
+                words[w] = array.array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        for known in (self.words, self.parts):
+            if len(known) > CACHE_WORDS:
+                known.clear()
         words = [t.split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list(set().union(*words) - self.known.keys())
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, got))
-        find = self.known.__getitem__
+        self._learn(set().union(*words) - self.words.keys())
+        find = self.words.__getitem__
         return [b"".join(map(find, w)) for w in words]
 
 
