@@ -29,7 +29,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
 def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     got = _powers.get((base, inverse))
     if got is None or len(got) < n:
-        size = max(n, 1 << 16)
+        size = 1 << max(16, (n - 1).bit_length())
         step = pow(base, -1, 1 << 64) if inverse else base
         got = np.full(size, step, _U)
         got[0] = 1
@@ -77,7 +77,7 @@ class Words:
         return run_hashes(h, at, at + n, _BASES[2]), text[at] == text[at + n - 1]
 
 
-def text_chunks(ids, texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
+def text_chunks(ids, texts: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[list, list[bytes]]]:
     """Rows in chunks of about ``limit`` bytes; a longer text is a chunk of its own."""
     some, own, size = [], [], 0
     for i, t in zip(ids, texts):

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coreloom.llm.hashing import text_chunks
-from coreloom.llm.util import read_table
+from coreloom.llm.util import bounded_batches, read_table
 
 SLOTS = 1 << 20
 PROBES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77))
@@ -155,6 +155,7 @@ def predict(rows: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     """The columns of ``rows`` with lang_pred and score beside them. The new columns
     replace columns of these names."""
     spark = rows.sparkSession
+    bounded_batches(spark)
     kept = [c for c in rows.columns if c not in ("lang_pred", "score", "letters", "body")]
     body = F.coalesce(F.col(text), F.lit(""))
     fed = rows.select(*kept, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"), body.alias("body"))

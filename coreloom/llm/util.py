@@ -14,7 +14,18 @@ from pyspark.sql import functions as F
 FILTER_BITS = 1 << 26
 
 
+#: Rows of an Arrow batch at most: with long texts the default of 10,000 is too much memory.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -58,6 +69,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     Unlike ``checkpoint()``, which computes its input twice, this runs it once; the
     rows are fixed from then on and survive the loss of any executor."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/coreloom-{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
