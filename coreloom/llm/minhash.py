@@ -10,10 +10,11 @@
    a weight are never looked at, and times beyond the last component's are not generated.
 2. Texts with the same words collapse to the smallest doc_id. Signatures are banded; in a
    bucket every document is paired with the smallest one alone (a star, not all pairs).
-3. Pairs are verified on the true multisets, in groups of one leader and at most ``GROUP``
-   of its documents. A document that is not similar to the leader is compared with the
-   others of its group; where a leader has several groups, such documents form stars of
-   their own in a further round, until none is left.
+3. Pairs are verified on the true multisets, in groups of one leader and at most about
+   ``GROUP`` of its documents. A document that is unlike its leader is compared with all
+   others of the star, block by block, so no link of a bucket is lost; overlaps come from
+   matrix products and only links that join two parts are given out. This is the one part
+   that grows with the square of a star: of its documents below the threshold.
 4. Verified pairs are joined to classes by star contraction.
 
 Similar: sum(min) / sum(max) >= 0.8. The smallest doc_id of a class is its id and stays.
@@ -37,7 +38,7 @@ from coreloom.llm.util import HashFilter, dropped, hashes_in, read_table, writte
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Documents that are compared with one leader in one group.
-GROUP = 400
+GROUP = 1000
 
 _U = np.uint64
 
@@ -152,24 +153,82 @@ def similar(a, b, least: float) -> bool:
     return both >= least * (na + nb - both)
 
 
-def _verify(n: int, least: float):
-    """Rows sorted by (leader, part), the leader itself first -> verified pairs (a < b, failed
-    false) and rows (doc, doc, failed true) for those unlike their leader."""
+def overlaps(bags: list, rows: list[int]) -> np.ndarray:
+    """sum(min) of some of the multisets with all, as a product of 0/1 matrices: a shingle of
+    weight w is w features, and only those that two multisets hold count."""
+    shingle = np.concatenate([np.repeat(x[0], x[1]) for x in bags])
+    level = np.concatenate([np.arange(x[1].sum()) - np.repeat(np.cumsum(x[1]) - x[1], x[1]) for x in bags])
+    owner = np.repeat(np.arange(len(bags)), [int(x[1].sum()) for x in bags])
+    _, feature, counts = np.unique(mix64(shingle ^ mix64(level.astype(_U))), return_inverse=True, return_counts=True)
+    column = np.cumsum(counts > 1) - 1
+    shared = counts[feature] > 1
+    owner, feature = owner[shared], column[feature[shared]]
+    out, width = np.zeros((len(rows), len(bags))), max(1, 20_000_000 // len(bags))
+    for low in range(0, int((counts > 1).sum()), width):
+        on = (feature >= low) & (feature < low + width)
+        cells = np.zeros((len(bags), width), np.float32)
+        cells[owner[on], feature[on] - low] = 1
+        out += cells[rows] @ cells.T
+    return out
+
+
+class Forest:
+    """Keeps the links that join two parts; the others add nothing to the classes."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.setdefault(x, x)) != x:
+            self.up[x] = self.up[y] if y in self.up else y
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _near(rows: list, asked: list[int], least: float, forest: Forest) -> Iterator[tuple[int, int]]:
+    """The links of some of the rows (doc, multiset) with all, as a forest."""
+    bags = [x[1] for x in rows]
+    total = np.array([x[1].sum() for x in bags], np.float64)
+    both = overlaps(bags, asked)
+    near = both >= least * (total[asked][:, None] + total[None, :] - both)
+    for i, j in zip(*np.nonzero(near)):
+        a, b = rows[asked[i]][0], rows[j][0]
+        if forest.join(a, b):
+            yield a, b
+
 
-    def flush(group: list, out: list) -> None:
-        leader, rest = group[0], group[1:]
+def _verify(n: int, least: float):
+    """Rows (leader, i, j, doc, role, text), a group's rows together, the leader first.
+
+    j < 0: one leader (role 0) and documents of its star (role 1): links with the leader, a
+    row (leader, doc, failed true) for each that is unlike it, and, where the star is one
+    group (j = -1), the links of these with the others of the group.
+    j >= 0: documents unlike their leader (role 0) against a block of its star (role 1)."""
+
+    def flush(key: tuple, group: list, out: list) -> None:
+        forest = Forest()
+        if key[2] >= 0:
+            rows = [x[1:] for x in group]
+            asked = [k for k, x in enumerate(group) if x[0] == 0]
+            out += [(*x, False) for x in _near(rows, asked, least, forest)] if asked and len(rows) > 1 else []
+            return
+        leader, rest = group[0][1:], [x[1:] for x in group[1:]]
         unlike = []
-        for doc, bag in rest:
+        for k, (doc, bag) in enumerate(rest):
             if similar(leader[1], bag, least):
+                forest.join(leader[0], doc)
                 out.append((leader[0], doc, False))
             else:
-                unlike.append((doc, bag))
-                out.append((doc, doc, True))
-        odd = {x[0] for x in unlike}
-        for k, (doc, bag) in enumerate(unlike):
-            for other, own in [*unlike[k + 1 :], *(x for x in rest if x[0] not in odd)]:
-                if other != doc and similar(bag, own, least):
-                    out.append((min(doc, other), max(doc, other), False))
+                unlike.append(k)
+                if key[2] == -2:
+                    out.append((leader[0], doc, True))
+        if unlike and len(rest) > 1 and key[2] == -1:
+            out += [(*x, False) for x in _near(rest, unlike, least, forest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, [], []
@@ -180,25 +239,25 @@ def _verify(n: int, least: float):
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "failed": pa.array(failed, pa.bool_())})
 
         for batch in batches:
-            leaders, parts, docs = (batch.column(i).to_pylist() for i in range(3))
-            texts = batch.column(3).cast(pa.binary()).to_pylist()
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            docs, roles = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            texts = batch.column(5).cast(pa.binary()).to_pylist()
             at = 0
             for _, own in text_chunks(range(len(texts)), texts):
                 text, shingle, weight, _ = multisets(own, n)
                 cut = np.searchsorted(text, np.arange(len(own) + 1))
                 for i in range(len(own)):
-                    now = (leaders[at], parts[at])
-                    if now != key:
+                    if keys[at] != key:
                         if group:
-                            flush(group, out)
-                        key, group = now, []
+                            flush(key, group, out)
+                        key, group = keys[at], []
                     s = slice(cut[i], cut[i + 1])
-                    group.append((docs[at], (shingle[s], weight[s])))
+                    group.append((roles[at], docs[at], (shingle[s], weight[s])))
                     at += 1
             if len(out) > 50_000:
                 yield made()
         if group:
-            flush(group, out)
+            flush(key, group, out)
         yield made()
 
     return run
@@ -224,28 +283,33 @@ def _stars(bands: DataFrame) -> DataFrame:
 
 
 def similar_pairs(bands: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame:
-    """bands: doc, band; texts: doc, text -> verified (a, b)."""
-    pairs = None
-    while True:
-        star = written(_stars(bands), "stars")
-        sizes = star.groupBy("leader").agg(F.count("*").alias("n"))
-        parted = star.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / GROUP)).alias("part"), "doc", (F.col("n") > GROUP).alias("many"))
-        rows = parted.select("leader", "part", "doc").unionAll(parted.select("leader", "part", F.col("leader").alias("doc")).distinct())
-        ids = rows.select("doc").distinct().mapInArrow(_mixed, "key long")
-        near = texts.mapInArrow(_wanted_texts(HashFilter(ids, "key").shared), "doc long, text string").groupBy("doc").agg(F.max("text").alias("text"))
-        fed = rows.join(near, "doc").select("leader", "part", "doc", "text")
-        fed = fed.repartition("leader", "part").sortWithinPartitions("leader", "part", "doc")
-        found = written(fed.mapInArrow(_verify(n, least), "a long, b long, failed boolean"), "verified")
-        good = found.where("not failed").select("a", "b")
-        pairs = good if pairs is None else pairs.unionAll(good)
-        # unlike their leader, and not all in one group with each other
-        over = sizes.where(F.col("n") > GROUP).select("leader")
-        again = star.join(over, "leader").select("doc").distinct()
-        left = written(found.where("failed").select(F.col("a").alias("doc")).distinct().join(again, "doc", "left_semi"), "unlike")
-        dropped(star)
-        if left.isEmpty():
-            return pairs.distinct()
-        bands = written(bands.join(left, "doc", "left_semi"), "bands")
+    """bands: doc, band; texts: doc, text -> verified (a, b), enough to join what is similar."""
+    star = written(_stars(bands), "stars")
+    sizes = star.groupBy("leader").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / GROUP)
+    block = F.pmod(F.xxhash64("doc"), "blocks")
+    parted = written(star.join(sizes, "leader").select("leader", "doc", blocks.alias("blocks")).withColumn("block", block), "blocks")
+    ids = parted.select("doc").unionAll(parted.select("leader")).distinct().mapInArrow(_mixed, "key long")
+    near = texts.mapInArrow(_wanted_texts(HashFilter(ids, "key").shared), "doc long, text string")
+    near = written(near.groupBy("doc").agg(F.max("text").alias("text")), "star-texts")
+
+    def verified(rows: DataFrame) -> DataFrame:
+        fed = rows.join(near, "doc").select("leader", "i", "j", "doc", "role", "text")
+        fed = fed.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "role", "doc")
+        return written(fed.mapInArrow(_verify(n, least), "a long, b long, failed boolean"), "verified")
+
+    kind = F.when(F.col("blocks") > 1, -2).otherwise(-1).cast("long").alias("j")
+    first = parted.select("leader", F.col("block").alias("i"), kind, "doc", F.lit(1).alias("role"))
+    first = first.unionAll(parted.select("leader", F.col("block").alias("i"), kind, F.col("leader").alias("doc"), F.lit(0).alias("role")).distinct())
+    found = verified(first)
+    pairs = found.where("not failed").select("a", "b")
+    # in stars of several groups, those unlike their leader meet all others block by block
+    unlike = found.where("failed").select(F.col("a").alias("leader"), F.col("b").alias("doc"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    many = parted.where("blocks > 1")
+    asked = many.join(unlike, ["leader", "doc"]).select("leader", F.col("block").alias("i"), each.alias("j"), "doc", F.lit(0).alias("role"))
+    others = many.select("leader", each.alias("i"), F.col("block").alias("j"), "doc", F.lit(1).alias("role"))
+    return pairs.unionAll(verified(asked.unionAll(others)).select("a", "b")).distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
