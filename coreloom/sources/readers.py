@@ -26,7 +26,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def numbers(value: Column, separator: str = ",") -> Column:
     """array<double> of a line; a part that is no number raises."""
-    parts = F.transform(F.split(F.trim(value), separator), F.trim)
+    parts = F.transform(F.split(F.trim(value), separator), lambda x: F.trim(x))
     bad = F.exists(parts, lambda x: ~x.rlike(NUMBER))
     return F.when(bad, F.raise_error(F.concat(F.lit("not a number in: "), value)).cast("array<double>")).otherwise(parts.cast("array<double>"))
 
