@@ -40,7 +40,7 @@ SEQUENCE = 2048
 STEP = 8
 END_ID = 0
 #: Words, and pre-tokens, that a worker's caches hold at most; beyond it a cache starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 
 _encoders: dict = {}
 
@@ -53,8 +53,23 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(rest)}
 
 
+class _Learning(dict):
+    """A cache that makes what it lacks."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        found = self[key] = self.make(key)
+        return found
+
+
+_LETTERS = byte_letters()
+
+
 class WordEncoder:
-    """Token ids of texts, as bytes of little-endian 32-bit numbers.
+    """Token ids of a text, as bytes of little-endian 32-bit numbers.
 
     The tokenizer drops white space, never joins across it and encodes each of its
     pre-tokens by itself, so a text's ids are those of its words one after the other, and a
@@ -69,34 +84,24 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = byte_letters()
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _part(self, p: str) -> bytes:
-        found = self.parts.get(p)
-        if found is None:
-            ids = [t.id for t in self.tokenizer.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]
-            found = self.parts[p] = array.array("I", ids).tobytes()
-        return found
+        self.words = _Learning(self._word)
+        self.parts = _Learning(self._part)
+
+    def _part(self, part: str) -> bytes:
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
+        return array.array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
 
-    def _learn(self, new: set[bytes]) -> None:
-        plain, cut, part, words = self._PLAIN.fullmatch, self._PARTS.findall, self._part, self.words
-        for w in new:
-            s = w.decode()
-            if plain(s) and "<|" not in s:
-                words[w] = b"".join(map(part, cut(s.lower())))
-            else:
-                words[w] = array.array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self._PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.parts.__getitem__, self._PARTS.findall(text.lower())))
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, text: bytes) -> bytes:
         for known in (self.words, self.parts):
             if len(known) > CACHE_WORDS:
                 known.clear()
-        words = [t.split() for t in texts]
-        self._learn(set().union(*words) - self.words.keys())
-        find = self.words.__getitem__
-        return [b"".join(map(find, w)) for w in words]
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def encoder(path: str | None) -> WordEncoder:
@@ -119,8 +124,8 @@ def _cut(path: str | None, size: int, end_id: int):
         for b in batches:
             for ids, texts in text_chunks(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 out: dict[str, list] = {k.split()[0]: [] for k in _PIECES.split(", ")}
-                for doc_id, code in zip(ids, coder.encode(texts)):
-                    code += last
+                for doc_id, text in zip(ids, texts):
+                    code = coder.encode(text) + last
                     for k, at in enumerate(range(0, len(code), 4 * size)):
                         piece = code[at : at + 4 * size]
                         n = len(piece) // 4
