@@ -165,9 +165,12 @@ class FingerprintIndex:
         windows = written(windows.mapInArrow(_windows(self.window, self.gram, wanted.shared), "anchor long, whash long, doc long, rk long, start int"), "windows")
         first = windows.groupBy("anchor", "whash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("anchor", "whash", "first")
         single = windows.join(first, ["anchor", "whash"]).where("doc > first").select("rk", "start", F.lit(1).alias("n"))
+        found = written(whole.unionAll(single), "hits")  # before compaction deletes what they come from
+        for done in (occurrences, windows):
+            dropped(done)
         self.tables.append(fresh)
         self.compact()
-        return whole.unionAll(single)
+        return found
 
     def compact(self) -> None:
         if len(self.tables) < self.fan_in:
