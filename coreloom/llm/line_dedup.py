@@ -10,7 +10,7 @@ Lines are judged on the input, not on what is left.
    segment number, content). As a probe it looks, for each indexed length from its own down
    to ``tau`` less, at the substrings whose shift is compatible with that segment
    (multi-match-aware selection).
-2. A fixed-size filter of the index keys keeps probes that can't match out of the shuffle;
+2. A bounded filter of the index keys keeps probes that can't match out of the shuffle;
    the join on the key is exact. In a bucket, entries are compared by a signature of
    character counts (two lines within ``tau`` edits differ by at most ``2 * tau`` in all),
    block by block, and only pairs that pass are given out.
@@ -227,12 +227,13 @@ def _bucket_pairs(tau: int):
     return run
 
 
-def _fetch(min_chars: int, shared):
+def _fetch(min_chars: int, texts_in, lines_in):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, texts in text_chunks(range(b.num_rows), b.column(0).cast(pa.binary()).to_pylist()):
+            b = b.filter(pa.array(hashes_in(texts_in.value, b.column(0).to_numpy())))
+            for _, texts in text_chunks(range(b.num_rows), b.column(1).cast(pa.binary()).to_pylist()):
                 own = Lines([t.decode() for t in texts], min_chars)
-                found = {int(own.h1[i].view(np.int64)): own.lines[i] for i in np.flatnonzero(hashes_in(shared.value, own.h1))}
+                found = {int(own.h1[i].view(np.int64)): own.lines[i] for i in np.flatnonzero(hashes_in(lines_in.value, own.h1))}
                 yield pa.RecordBatch.from_pydict({"h1": pa.array(list(found), pa.int64()), "content": pa.array(list(found.values()), pa.string())})
 
     return run
@@ -258,12 +259,16 @@ def edit_links(occurrences: DataFrame, rows: DataFrame, tau: int, min_chars: int
     """(a, b): the pairs of different lines within tau edits, by their hash h1."""
     distinct = occurrences.groupBy("h1").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     entries = distinct.select(F.explode("keys").alias("key"), "h1", "sig", F.lit(False).alias("probe"))
-    index = HashFilter(occurrences.select(F.explode("keys").alias("key")), "key")
+    index = HashFilter(occurrences.select(F.explode("keys").alias("key")), "key", expected=occurrences.count() * (tau + 1))
     probes = rows.select("text").mapInArrow(_probes(tau, min_chars, index.shared), "key long, h1 long, sig long, probe boolean").distinct()
     met = entries.unionAll(probes).repartition("key").sortWithinPartitions("key")
     pairs = written(met.mapInArrow(_bucket_pairs(tau), "a long, b long").distinct(), "line-pairs")
-    wanted = HashFilter(pairs.select(F.explode(F.array("a", "b")).alias("h1")), "h1")
-    content = written(rows.select("text").mapInArrow(_fetch(min_chars, wanted.shared), "h1 long, content string").groupBy("h1").agg(F.max("content").alias("content")), "line-texts")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    # one text that holds each line is enough
+    places = occurrences.select("h1", "rk").join(ids, "h1").groupBy("h1").agg(F.min("rk").alias("rk"))
+    texts_in, lines_in = HashFilter(places, "rk"), HashFilter(ids, "h1")
+    fetched = rows.select("rk", "text").mapInArrow(_fetch(min_chars, texts_in.shared, lines_in.shared), "h1 long, content string")
+    content = written(fetched.groupBy("h1").agg(F.max("content").alias("content")), "line-texts")
     left = content.select(F.col("h1").alias("a"), F.col("content").alias("x"))
     right = content.select(F.col("h1").alias("b"), F.col("content").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(tau), "a long, b long")

@@ -1,5 +1,5 @@
 """Shared pieces of the training-data operators: tables written to the shared
-folder, a fixed-size membership filter, and small column helpers."""
+folder, a bounded membership filter."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ import atexit
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the fixed-size membership filter: 8 MB, whatever the data.
-FILTER_BITS = 1 << 26
+#: Bits of a membership filter (8 MB), and of one that is sized by its keys at most (32 MB).
+FILTER_BITS, MAX_FILTER_BITS = 1 << 26, 1 << 28
 
 
 #: Rows of an Arrow batch at most: with long texts the default of 10,000 is too much memory.
@@ -90,55 +90,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-class KeyFilter:
-    """Membership filter of fixed size: no false negatives; false positives grow with
-    the number of keys, so an exact step always follows. It keeps most rows that
-    cannot matter out of a shuffle, and is the only thing that is broadcast."""
-
-    def __init__(self, keys: DataFrame, column: str, bits: int = FILTER_BITS):
-        spark = keys.sparkSession
-        slot = F.pmod(F.xxhash64(F.col(column)), F.lit(bits).cast("long"))
-        words = (
-            keys.select(slot.alias("slot"))
-            .groupBy((F.col("slot") / 64).cast("long").alias("word"))
-            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("mask"))
-        )
-        table = words.toArrow()
-        filled = np.zeros(bits // 64, np.int64)
-        filled[table["word"].to_numpy()] = table["mask"].to_numpy()
-        self.bits = bits
-        self.shared = spark.sparkContext.broadcast(filled.tobytes())
-
-    def slots(self, column: str) -> Column:
-        """The slot column that ``test`` looks up, computed in the JVM."""
-        return F.pmod(F.xxhash64(F.col(column)), F.lit(self.bits).cast("long"))
-
-
-def slots_in(filled: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """Which slots are set in the words of a KeyFilter."""
-    return (filled[slots >> 6] >> (slots & 63)) & 1 != 0
-
-
 class HashFilter:
-    """As KeyFilter, for 64-bit hashes made in numpy: the slot is taken from the hash itself."""
-
-    def __init__(self, keys: DataFrame, column: str, bits: int = FILTER_BITS):
-        spark = keys.sparkSession
-        slot = F.col(column).bitwiseAND(F.lit(bits - 1).cast("long"))
-        table = (
-            keys.select(slot.alias("slot"))
-            .groupBy(F.shiftright("slot", 6).alias("word"))
-            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))).alias("mask"))
-            .toArrow()
-        )
+    """Membership filter (a Bloom filter of two probes) for 64-bit hashes. No false
+    negatives; false positives only cost work, as an exact step always follows. It keeps
+    most rows that cannot matter out of a shuffle. Its size is bounded: ``FILTER_BITS``, or
+    about sixteen bits for each of ``expected`` keys, up to ``MAX_FILTER_BITS``."""
+
+    def __init__(self, keys: DataFrame, column: str, expected: int | None = None):
+        bits = FILTER_BITS if expected is None else min(MAX_FILTER_BITS, 1 << max(20, (16 * expected - 1).bit_length()))
+        mask = F.lit(bits - 1).cast("long")
+        slots = F.array(F.col(column).bitwiseAND(mask), F.shiftrightunsigned(column, 32).bitwiseAND(mask))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
+        table = keys.select(F.explode(slots).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("mask")).toArrow()
         filled = np.zeros(bits // 64, np.int64)
         filled[table["word"].to_numpy()] = table["mask"].to_numpy()
-        self.bits = bits
-        self.shared = spark.sparkContext.broadcast(filled.tobytes())
+        self.shared = keys.sparkSession.sparkContext.broadcast(filled.tobytes())
 
 
 def hashes_in(raw: bytes, hashes: np.ndarray) -> np.ndarray:
     """Which hashes the bytes of a HashFilter hold; its size follows from their length."""
-    filled = np.frombuffer(raw, np.uint64)
-    slots = hashes.astype(np.uint64) & np.uint64(len(filled) * 64 - 1)
-    return (filled[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) != 0
+    filled, mask = np.frombuffer(raw, np.uint64), np.uint64(len(raw) * 8 - 1)
+    hashes = hashes.astype(np.uint64)
+    found = np.ones(len(hashes), bool)
+    for slots in (hashes & mask, (hashes >> np.uint64(32)) & mask):
+        found &= (filled[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) != 0
+    return found
