@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coreloom.functions import vec
+from coreloom.session import small
 
 BLOCK = 20_000
 
@@ -94,7 +95,7 @@ def nearest(points: DataFrame, centers: DataFrame) -> DataFrame:
 def nearest_sql(points: DataFrame, centers: DataFrame) -> DataFrame:
     """The same by expressions alone, for a centre table that the planner may broadcast."""
     best = F.min(F.struct(vec.d2("p.v", "c.v").alias("d2"), F.col("c.cid").alias("cluster"))).alias("best")
-    pairs = points.alias("p").join(F.broadcast(centers.alias("c")))
+    pairs = points.alias("p").join(small(centers).alias("c"))
     return pairs.groupBy("p.id").agg(F.first("p.v").alias("v"), best).select("id", "v", "best.cluster", "best.d2")
 
 
@@ -102,7 +103,7 @@ def ray_assign(points: DataFrame, rays: DataFrame) -> DataFrame:
     """points: id, v, cluster; rays: cluster, ray, origin, dir -> nearest ray of its cluster, length and distance.
 
     An equi-join on the cluster; a cluster has a bounded number of rays."""
-    pairs = points.join(F.broadcast(rays), "cluster")
+    pairs = points.join(small(rays), "cluster")
     pairs = pairs.select("id", "v", "cluster", "ray", vec.projection("v", "origin", "dir").alias("length"), vec.ray_distance("v", "origin", "dir").alias("dist"))
     best = pairs.groupBy("id").agg(F.min(F.struct("dist", "ray", "length", "cluster")).alias("x"), F.first("v").alias("v"))
     return best.select("id", "v", "x.cluster", "x.ray", "x.length", "x.dist")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from coreloom.functions import rng, vec
 from coreloom.operators import aggregates, hard_instance
 from coreloom.operators.assign import nearest
+from coreloom.session import small
 
 
 def cost(points: DataFrame, centers: DataFrame, added_mass: float = 0.0) -> DataFrame:
@@ -84,7 +85,7 @@ def convex_candidates(centers: DataFrame, n: int, seed) -> DataFrame:
 def snap(coreset: DataFrame, points: DataFrame) -> DataFrame:
     """idx, w, id: the dataset point nearest to each coreset point. The coreset is the small
     side: every partition answers with its best point for each coreset row."""
-    c = F.broadcast(coreset.select("idx", F.col("v").alias("cv"), "w"))
+    c = small(coreset.select("idx", F.col("v").alias("cv"), "w"))
     pairs = points.select("id", "v").join(c)
     best = pairs.groupBy("idx").agg(F.min(F.struct(vec.d2("v", "cv").alias("d2"), "id")).alias("x"), F.first("w").alias("w"))
     return best.select("idx", "w", "x.id")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from coreloom.session import small
+
 BETA, BANDS = 10000, 4
 
 
@@ -20,7 +22,7 @@ def ring_points(assigned: DataFrame, cost: str = "cost", beta: int = BETA) -> Da
     """assigned: id, cluster, cost -> also avg_cost, kind (ring, shortfall, overshot), ring."""
     r = int(math.floor(math.log10(beta)))
     stats = assigned.groupBy("cluster").agg(F.avg(cost).alias("avg_cost"))
-    rows = assigned.join(F.broadcast(stats), "cluster")  # a row a cluster
+    rows = assigned.join(small(stats), "cluster")  # a row a cluster
     c, avg = F.col(cost), F.col("avg_cost")
     ring = F.lit(None).cast("int")
     for level in range(r, -r - 1, -1):
