@@ -107,3 +107,23 @@ def ray_assign(points: DataFrame, rays: DataFrame) -> DataFrame:
     pairs = pairs.select("id", "v", "cluster", "ray", vec.projection("v", "origin", "dir").alias("length"), vec.ray_distance("v", "origin", "dir").alias("dist"))
     best = pairs.groupBy("id").agg(F.min(F.struct("dist", "ray", "length", "cluster")).alias("x"), F.first("v").alias("v"))
     return best.select("id", "v", "x.cluster", "x.ray", "x.length", "x.dist")
+
+
+def nearest_by(points: DataFrame, centers: DataFrame, measure) -> DataFrame:
+    """Nearest centre under any measure, a function of two vector columns that returns a
+    column: id, v, cluster, dist. Ties go to the lowest centre id."""
+    pairs = points.select("id", "v").join(small(centers.select("cid", F.col("v").alias("c"))))
+    best = F.min(F.struct(measure(F.col("v"), F.col("c")).alias("dist"), F.col("cid").alias("cluster"))).alias("x")
+    return pairs.groupBy("id").agg(F.first("v").alias("v"), best).select("id", "v", "x.cluster", "x.dist")
+
+
+def partition_cost(assigned: DataFrame, centers: DataFrame, measure=vec.d2) -> DataFrame:
+    """cluster, cost: the cost of a given partition under given centres."""
+    c = small(centers.select(F.col("cid").alias("cluster"), F.col("v").alias("c")))
+    return assigned.join(c, "cluster").groupBy("cluster").agg(F.sum(measure(F.col("v"), F.col("c"))).alias("cost"))
+
+
+def pairwise(points: DataFrame, measure=vec.d2) -> DataFrame:
+    """a, b, dist for all pairs of a small set."""
+    other = small(points.select(F.col("id").alias("b"), F.col("v").alias("y")))
+    return points.select(F.col("id").alias("a"), F.col("v").alias("x")).join(other).select("a", "b", measure(F.col("x"), F.col("y")).alias("dist"))

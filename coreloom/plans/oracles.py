@@ -160,3 +160,18 @@ S["drop_nan_rows"] = f"WITH {P} SELECT count(*) AS n, round(sum(list_sum(list_tr
 S["local_search_swap"] = f"""WITH {P}, k AS (SELECT i AS closed, q.id AS opened FROM range(5) t(i), p q WHERE q.id BETWEEN 5 AND 24),
 m AS (SELECT closed, opened, x.id, min({d2('x.v', 'c.v')}) AS d2 FROM k, p x, p c WHERE (c.id < 5 AND c.id <> closed) OR c.id = opened GROUP BY ALL)
 SELECT closed, opened, round(sum(d2), 6) AS cost FROM m GROUP BY ALL"""
+
+S["row_gather"] = f"WITH {P} SELECT id, round(v[1], 6) AS x FROM p WHERE id % 9 = 2"
+S["cluster_members"] = f"{PCA} SELECT id FROM a WHERE cluster = 2"
+S["overshot_members"] = f"{OA} SELECT id, cluster FROM k JOIN (SELECT cluster, avg(cost) AS d FROM k GROUP BY cluster) USING (cluster) WHERE d > 0 AND cost >= d * 2"
+S["bad_coordinates"] = f"WITH {P} SELECT sum(CASE WHEN id % 11 = 0 THEN len(v) ELSE 0 END)::BIGINT AS n_nan, sum(CASE WHEN id % 11 <> 0 AND id % 13 = 0 THEN len(v) ELSE 0 END)::BIGINT AS n_inf FROM p"
+S["set_intersection"] = f"WITH {P} SELECT id FROM p WHERE id % 2 = 0 INTERSECT SELECT id FROM p WHERE id % 3 = 0"
+S["set_difference"] = f"WITH {P} SELECT id FROM p WHERE id % 2 = 0 EXCEPT SELECT id FROM p WHERE id % 3 = 0"
+S["prefix_sums"] = """SELECT grp, id, row_number() OVER b - 1 AS rank, (sum(x) OVER b)::BIGINT AS sum, (sum(x * x) OVER b)::BIGINT AS sum2
+FROM (SELECT o_orderpriority AS grp, o_orderkey AS id, floor(o_totalprice)::BIGINT AS x FROM orders) WINDOW b AS (PARTITION BY grp ORDER BY x, id ROWS UNBOUNDED PRECEDING)"""
+S["paired_files"] = """WITH f AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'f' || (p_partkey // 4) || '-svd-d5.csv' ELSE 'f' || (p_partkey // 3) || '.csv' END AS path FROM part WHERE p_partkey < 200)
+SELECT r.path AS reduced, o.path AS original FROM f r JOIN f o ON contains(r.path, '-svd') AND o.path = replace(r.path, '-svd-d5', '')"""
+S["nearest_l1"] = f"WITH {P}, {C} SELECT id, cid AS cluster, round(d, 6) AS dist FROM (SELECT id, cid, list_sum({_Z.format('v', 'c', 'abs(z[1] - z[2])')}) AS d FROM p, c) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, cid) = 1"
+S["partition_costs"] = f"WITH {P}, {C} SELECT cid AS cluster, round(sum({d2('v', 'c')}), 6) AS cost FROM p JOIN c ON cid = id % 5 GROUP BY cid"
+S["pairwise_distances"] = f"WITH {P} SELECT x.id AS a, y.id AS b, round({d2('x.v', 'y.v')}, 6) AS dist FROM p x, p y WHERE x.id < 20 AND y.id < 20"
+S["union_of_frames"] = "SELECT c_custkey AS id, c_acctbal AS x FROM customer UNION ALL SELECT s_suppkey, s_acctbal FROM supplier"

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coreloom.functions import rng, vec
-from coreloom.operators import aggregates, coresets, evaluate, hard_instance, local_search, lloyd, reduce, rings, sampling, seeding, sparse
-from coreloom.operators.assign import nearest, ray_assign
+from coreloom.operators import aggregates, coresets, evaluate, filters, hard_instance, local_search, lloyd, reduce, rings, sampling, seeding, sparse
+from coreloom.operators.assign import nearest, nearest_by, pairwise, partition_cost, ray_assign
 from coreloom.operators.kmeans1d import kmeans_1d
 from coreloom.plans import experiments, report
 from coreloom.session import stored, table
@@ -516,3 +516,74 @@ def local_search_run(spark, d):
     p = vectors(spark, d)
     found = local_search.local_search(p, fixed(p, 0, 5), samples=5, rounds=3)
     return evaluate.cost(p, found)
+
+
+@query
+def row_gather(spark, d):
+    p = vectors(spark, d)
+    return filters.gather(p, p.where("id % 9 = 2").select("id")).select("id", F.round(F.col("v")[0], 6).alias("x"))
+
+
+@query
+def cluster_members(spark, d):
+    return filters.cluster_points(assigned(spark, d), 2).select("id")
+
+
+@query
+def overshot_members(spark, d):
+    return filters.overshot_points(rings.ring_points(priced(spark, d), beta=1)).select("id", "cluster")
+
+
+@query
+def bad_coordinates(spark, d):
+    p = vectors(spark, d).withColumn("v", F.transform("v", lambda x: F.when(F.col("id") % 11 == 0, F.lit(float("nan"))).when(F.col("id") % 13 == 0, F.lit(float("-inf"))).otherwise(x)))
+    return filters.bad_coordinates(p)
+
+
+@query
+def set_intersection(spark, d):
+    p = vectors(spark, d)
+    return filters.intersection(p.where("id % 2 = 0"), p.where("id % 3 = 0"))
+
+
+@query
+def set_difference(spark, d):
+    p = vectors(spark, d)
+    return filters.difference(p.where("id % 2 = 0"), p.where("id % 3 = 0"))
+
+
+@query
+def prefix_sums(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("id"), F.floor("o_totalprice").alias("x"))
+    return filters.ordered(rows, "grp", "x", "id")
+
+
+@query
+def paired_files(spark, d):
+    files = table(spark, d, "part").where("p_partkey < 200").select(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("f"), F.floor(F.col("p_partkey") / 4), F.lit("-svd-d5.csv"))).otherwise(F.concat(F.lit("f"), F.floor(F.col("p_partkey") / 3), F.lit(".csv"))).alias("path")).distinct()
+    return filters.pair_reduced_files(files)
+
+
+@query
+def nearest_l1(spark, d):
+    p = vectors(spark, d)
+    return nearest_by(p, fixed(p, 0, 5), vec.l1).select("id", "cluster", F.round("dist", 6).alias("dist"))
+
+
+@query
+def partition_costs(spark, d):
+    p = vectors(spark, d)
+    own = p.withColumn("cluster", F.col("id") % 5)
+    return partition_cost(own, fixed(p, 0, 5)).select("cluster", F.round("cost", 6).alias("cost"))
+
+
+@query
+def pairwise_distances(spark, d):
+    return pairwise(vectors(spark, d).where("id < 20")).select("a", "b", F.round("dist", 6).alias("dist"))
+
+
+@query
+def union_of_frames(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"))
+    b = table(spark, d, "supplier").select(F.col("s_acctbal").alias("x"), F.col("s_suppkey").alias("id"))
+    return a.unionByName(b)

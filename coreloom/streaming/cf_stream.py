@@ -142,3 +142,27 @@ def as_coreset(features: DataFrame) -> DataFrame:
 def summarize(points: DataFrame, m: int) -> DataFrame:
     """The same for a table: a coreset of at most m features."""
     return as_coreset(merge_features(compress_points(points, m), m))
+
+
+def log_progress(spark, every: int = 10_000, write=print):
+    """Register a listener that reports each ``every`` points of a stream; returns it."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Progress(StreamingQueryListener):
+        seen = told = 0
+
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            self.seen += event.progress.numInputRows
+            if self.seen // every > self.told:
+                self.told = self.seen // every
+                write(f"{self.seen} points")
+
+        def onQueryTerminated(self, event):
+            pass
+
+    listener = Progress()
+    spark.streams.addListener(listener)
+    return listener
