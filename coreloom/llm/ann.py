@@ -17,7 +17,8 @@ smaller vec_id. Brute force runs in blocks of the stated queries against all row
 
 Defined cases: vectors that are null or zero, hold a null or non-finite component, or have
 not the most common length take no part; rows without vec_id neither; rows with the query's
-id are never its neighbours; with fewer than k candidates all are returned; an empty table
+id are never its neighbours; repeated rows (one id and vector) count once, and a query id
+with several vectors asks with the smallest; with fewer than k candidates all are returned; an empty table
 gives an empty one; other columns are ignored."""
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
 class Tree:
     """children[i] are the nodes below node i (none: a leaf); centres[i] its centre."""
 
-    def __init__(self, sample: np.ndarray, branch: int = 8, leaf_rows: int = 40, seed: int = 5):
+    def __init__(self, sample: np.ndarray, branch: int = 16, leaf_rows: int = 100, seed: int = 5):
         self.centres, self.children, self.leaf = [sample.mean(0)], [[]], [-1]
         rng = np.random.default_rng(seed)
         todo, self.leaves = [(0, sample)], 0
@@ -113,6 +114,7 @@ def nearest_in(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray,
     # of equal vectors only the first k + 1 ids can be among the k nearest of any query
     _, same = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
     by = np.argsort(same, kind="stable")
+    by = by[np.append(True, (np.diff(same[by]) != 0) | (np.diff(ids[by]) != 0))]  # a repeated row counts once
     start = np.flatnonzero(np.diff(same[by], prepend=-1))
     place = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
     keep = np.sort(by[place <= k])
@@ -123,12 +125,10 @@ def nearest_in(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray,
         some = q[block : block + 256]
         rough = norms - 2 * some @ x.T + (some * some).sum(1)[:, None]
         for i, (row, own) in enumerate(zip(rough, some)):
-            if len(row) > k + 1:
-                edge = np.partition(row, k)[k]
-                near = np.flatnonzero(row <= edge + 1e-9 * (1 + abs(edge) + norms.max()))
-            else:
-                near = np.arange(len(row))
-            near = near[ids[near] != q_ids[block + i]]
+            others = np.flatnonzero(ids != q_ids[block + i])
+            row = row[others]
+            edge = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+            near = others[row <= edge + 1e-9 * (1 + abs(edge) + norms.max())]
             d = np.sqrt(((x[near] - own) ** 2).sum(1))
             best = np.lexsort((ids[near], d))[:k]
             out_q.append(np.full(len(best), block + i))
@@ -205,7 +205,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (common[0]["n"] if common else 0))
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, recall: float = 0.97, sample_rows: int = 20_000, probe_queries: int = 100) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 10, recall: float = 0.95, sample_rows: int = 10_000, probe_queries: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score. ``is_query`` is a condition on vec_id."""
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -214,7 +214,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, recall: float = 0.97, samp
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree = Tree(_matrix(chosen["v"].combine_chunks()))
     placed = written(rows.mapInArrow(_assign(spark.sparkContext.broadcast(tree)), "vec_id long, v array<double>, leaf long"), "leaves")
-    queries = placed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    queries = placed.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
     sizes = np.zeros(tree.leaves, np.int64)
     for r in placed.groupBy("leaf").count().collect():  # a row a leaf
         sizes[r["leaf"]] = r["count"]
