@@ -52,4 +52,4 @@ def ordered(values: DataFrame, key: str, value: str, item: str) -> DataFrame:
     """In each group the rank of every row by value (from 0), and prefix sums of x and x * x."""
     w = W.partitionBy(key).orderBy(value, item)
     run = w.rowsBetween(W.unboundedPreceding, 0)
-    return values.select(key, item, (F.row_number().over(w) - 1).alias("rank"), F.sum(value).over(run).alias("sum"), F.sum(F.col(value) * F.col(value)).over(run).alias("sum2"))
+    return values.select(key, item, (F.row_number().over(w) - 1).cast("long").alias("rank"), F.sum(value).over(run).alias("sum"), F.sum(F.col(value) * F.col(value)).over(run).alias("sum2"))
