@@ -344,15 +344,14 @@ def line_digests(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
 def drop_repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows and columns of ``docs`` with the texts that stay; a document none of whose
     lines with a word stays, though it had some, goes."""
-    marks = repeated_lines(docs, tau, min_chars).select(F.col("rk").alias("lines_rk"), F.col("lines").alias("lines_gone"))
-    own = docs.withColumn("lines_rk", F.xxhash64("doc_id", "text"))
-    joined = own.join(marks, "lines_rk", "left")
-    parts = F.split("text", "\n", -1)
-    stay = F.filter(parts, lambda x, i: ~F.array_contains(F.col("lines_gone"), i))
-    left = F.when(F.size("lines_gone") > 0, F.array_join(stay, "\n")).otherwise(F.col("text"))
-    joined = joined.withColumn("lines_left", left)
-    emptied = (F.size("lines_gone") > 0) & ~F.col("lines_left").rlike(r"[^\x20\x09-\x0D]")
-    return joined.where(~F.coalesce(emptied, F.lit(False))).select(*[F.col("lines_left").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    marks = repeated_lines(docs, tau, min_chars).select("rk", "lines")
+    own = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text", F.struct(*docs.columns).alias("row"))  # so that no name clashes
+    joined = own.join(marks, "rk", "left")
+    stay = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("lines"), i))
+    joined = joined.withColumn("left", F.when(F.size("lines") > 0, F.array_join(stay, "\n")).otherwise(F.col("text")))
+    emptied = (F.size("lines") > 0) & ~F.col("left").rlike(r"[^\x20\x09-\x0D]")
+    kept = joined.where(~F.coalesce(emptied, F.lit(False)))
+    return kept.select(*[F.col("left").alias("text") if c == "text" else F.col(f"row.{c}") for c in docs.columns])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,8 +86,8 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: i
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it is taken. One row a doc_id is expected in ``docs``."""
     times = mixed.where("taken > 0").select(F.col("doc_id").alias("mix_id"), (F.col("taken") / F.col("size")).cast("int").alias("mix_times"))
-    own = docs.columns
-    return docs.join(times, docs["doc_id"].eqNullSafe(times["mix_id"])).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*own)
+    rows = docs.select(F.col("doc_id").alias("own_id"), F.struct(*docs.columns).alias("row"))  # so that no name clashes
+    return rows.join(times, F.col("own_id").eqNullSafe(F.col("mix_id"))).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("row.*")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -489,6 +489,21 @@ def test_pipeline(spark):
     assert len({r["doc_id"] for r in rows}) <= sizes[2]
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    own = docs(spark, [(i, words(r, 40) + "\n" + words(r, 30)) for i in range(12)] + [(50, None)])
+    for name in ("score", "lang_pred", "rk", "lines", "left", "row", "size", "taken", "mix_id", "doc", "class_id", "near_id", "key", "body"):
+        own = own.withColumn(name, F.lit(f"mine {name}"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, own, SF)
+        assert out.columns == own.columns, name
+        assert out.where("score <> 'mine score' or left <> 'mine left' or row <> 'mine row' or body <> 'mine body'").count() == 0
+        assert out.count() >= 12 - (name == "mix_sources") * 12
+    assert corpus_pipeline.STAGES[-1][1](spark, own, SF).count() >= 13
+
+
 def test_native_plans(spark):
     """Operators 4 and 10 run no Python."""
     own = docs(spark, [(1, "a b"), (2, "c")])
