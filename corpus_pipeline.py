@@ -25,8 +25,8 @@ from coreloom.llm import language_id, line_dedup, minhash, mixing, packing, util
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = language_id.learn(docs.select("doc_id", "lang", "text"))
-    kept = language_id.predict(docs, filters).where("lang_pred <> 'und'")
-    return kept.select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")  # so that no name clashes
+    return language_id.predict(rows, filters).where("lang_pred <> 'und'").select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
