@@ -163,8 +163,9 @@ def overlaps(bags: list, rows: list[int]) -> np.ndarray:
     column = np.cumsum(counts > 1) - 1
     shared = counts[feature] > 1
     owner, feature = owner[shared], column[feature[shared]]
-    out, width = np.zeros((len(rows), len(bags))), max(1, 20_000_000 // len(bags))
-    for low in range(0, int((counts > 1).sum()), width):
+    total = int((counts > 1).sum())
+    out, width = np.zeros((len(rows), len(bags))), max(1, min(total, 8_000_000 // len(bags)))
+    for low in range(0, total, width):
         on = (feature >= low) & (feature < low + width)
         cells = np.zeros((len(bags), width), np.float32)
         cells[owner[on], feature[on] - low] = 1
