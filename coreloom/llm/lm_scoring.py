@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from coreloom.llm.hashing import Words, mix64, text_chunks
 from coreloom.llm.util import read_table, shuffle_partitions, written
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 5 << 20
 #: Weight of the unigram distribution in a context, in tokens.
 K = 30.0
 ALPHA = 0.1
