@@ -10,7 +10,8 @@ run with its earliest document.
   is merge-joined with the runs of earlier batches on (anchor, run).
 * A run that an earlier document holds as a whole marks all its windows. Where one anchor
   has several distinct runs, the windows of one occurrence of each are hashed by
-  themselves and joined on (anchor, window hash), so partial overlaps are found exactly.
+  themselves and joined on (anchor, window hash), so partial overlaps are found exactly;
+  what is found, as places in the run, holds for all occurrences in the run's first document.
 * A hit is verified by two independent hashes of 64 bits, the anchor's (of part of the
   words, other polynomial) and the run's or window's (of all words).
 * After ``fan_in`` tables the index is compacted: tables are merged into one, the earliest
@@ -113,8 +114,8 @@ def _windows(window: int, gram: int, shared):
                         "anchor": pa.array(anchor[row].view(np.int64)),
                         "whash": pa.array(h.view(np.int64)),
                         "doc": pa.array(doc[ids[text[row]]]),
-                        "rk": pa.array(rk[ids[text[row]]]),
-                        "start": pa.array(at.astype(np.int32)),
+                        "run": pa.array(run[row].view(np.int64)),
+                        "place": pa.array((at - start[row]).astype(np.int32)),
                     }
                 )
 
@@ -162,9 +163,11 @@ class FingerprintIndex:
         windows = None
         for docs in self.documents:
             windows = docs if windows is None else windows.unionAll(docs)
-        windows = written(windows.mapInArrow(_windows(self.window, self.gram, wanted.shared), "anchor long, whash long, doc long, rk long, start int"), "windows")
+        windows = written(windows.mapInArrow(_windows(self.window, self.gram, wanted.shared), "anchor long, whash long, doc long, run long, place int"), "windows")
         first = windows.groupBy("anchor", "whash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("anchor", "whash", "first")
-        single = windows.join(first, ["anchor", "whash"]).where("doc > first").select("rk", "start", F.lit(1).alias("n"))
+        places = windows.join(first, ["anchor", "whash"]).where("doc > first").select("anchor", "run", "doc", "place").distinct()
+        # a document may hold its run several times, or in several rows: each occurrence gets the run's places
+        single = occurrences.select("anchor", "run", "doc", "rk", "start").join(places, ["anchor", "run", "doc"]).select("rk", (F.col("start") + F.col("place")).alias("start"), F.lit(1).alias("n"))
         found = written(whole.unionAll(single), "hits")  # before compaction deletes what they come from
         for done in (occurrences, windows):
             dropped(done)

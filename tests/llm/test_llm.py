@@ -73,6 +73,19 @@ def test_substrings_brute_force(spark, batches):
     assert sorted(map(tuple, got)) == brute_windows(rows, 10)
 
 
+@pytest.mark.parametrize("batches", [1, 2])
+def test_substrings_in_a_repeated_section(spark, batches):
+    r = random.Random(21)
+    passage = words(r, 14, 10**6)
+    section = " ".join([words(r, 20, 10**6), passage, words(r, 20, 10**6)])
+    rows = [(1, " ".join([words(r, 25, 10**6), passage, words(r, 25, 10**6)])), (2, f"{section} {section} {section}"), (4, words(r, 60, 10**6))]
+    got = sorted(map(tuple, substring_dedup.dedup_substrings(docs(spark, rows), 10, 4, batches).drop("kept").collect()))
+    assert got == brute_windows(rows, 10) and got[1][2] == 3 * 14
+    twice = [*rows, (2, f"another row {section}")]  # a second row of the document
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.dedup_substrings(docs(spark, twice), 10, 4, batches).collect())
+    assert [x[2] for x in got] == [0, 14, 42, 0]
+
+
 def test_index_compacts(spark):
     index = substring_dedup.FingerprintIndex(spark, 10, 4, fan_in=2)
     r = random.Random(4)
