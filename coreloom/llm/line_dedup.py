@@ -2,8 +2,9 @@
 
 A line (split at ``\\n``, trimmed of white space at both ends) of at least ``min_chars``
 code points goes if an earlier line of the corpus, by doc_id and line number, is within
-``tau`` edits (insertions, deletions, substitutions of code points). Shorter lines stay.
-Lines are judged on the input, not on what is left.
+``tau`` edits (insertions, deletions, substitutions of code points). A shorter line of at
+least ``exact_chars`` code points goes if an earlier line equals it; without ``exact_chars``
+shorter lines stay. Empty lines always stay. Lines are judged on the input, not on what is left.
 
 1. Each line is cut into ``tau + 1`` segments; two lines within ``tau`` edits share one at
    nearly the same place. A line's own segments are its index entries, keyed by (length,
@@ -39,6 +40,8 @@ from coreloom.llm.hashing import _BASES, mix64, run_hashes, text_chunks
 from coreloom.llm.util import HashFilter, hashes_in, read_table, written
 
 TAU, MIN_CHARS = 2, 20
+#: What the query and the pipeline judge by equality alone: every line that is not empty.
+EXACT_CHARS = 1
 _TRIM = " \t\r\x0b\x0c"
 _LAST = (1 << 63) - 1
 _U = np.uint64
@@ -131,15 +134,19 @@ def within(a: str, b: str, tau: int) -> bool:
     return bool(rows[tau] >> len(a) & 1)
 
 
-def _scan(tau: int, min_chars: int):
+def _scan(tau: int, min_chars: int, exact_chars: int):
+    """All lines that are judged; those for the edit join alone have a signature and keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, rk = b.column(0).to_numpy(), b.column(1).to_numpy()
             for ids, texts in text_chunks(range(b.num_rows), b.column(2).cast(pa.binary()).to_pylist()):
                 ids = np.array(ids)
-                own = Lines([t.decode() for t in texts], min_chars)
+                own = Lines([t.decode() for t in texts], exact_chars)
                 at = ids[own.text] if len(own.text) else np.zeros(0, np.int64)
-                keys = own.index_keys(tau).astype(_U).view(np.int64).ravel()
+                short = own.length < min_chars
+                keys = own.index_keys(tau).astype(_U).view(np.int64)[~short].ravel()
+                ends = np.concatenate([[0], np.cumsum(~short)]) * (tau + 1)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc": pa.array(doc[at]),
@@ -147,8 +154,8 @@ def _scan(tau: int, min_chars: int):
                         "line": pa.array(own.number.astype(np.int32)),
                         "h1": pa.array(own.h1.view(np.int64)),
                         "h2": pa.array(own.second().view(np.int64)),
-                        "sig": pa.array(own.signature().view(np.int64)),
-                        "keys": pa.FixedSizeListArray.from_arrays(pa.array(keys), tau + 1).cast(pa.list_(pa.int64())),
+                        "sig": pa.array(own.signature().view(np.int64), mask=short),
+                        "keys": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys), mask=pa.array(short)),
                     }
                 )
 
@@ -274,14 +281,14 @@ def edit_links(occurrences: DataFrame, rows: DataFrame, tau: int, min_chars: int
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(tau), "a long, b long")
 
 
-def repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """rk, lines array<int>, n_links: the lines of each text that go; rk is xxhash64(doc_id, text)."""
     rows = _keyed(docs)
     kinds = "doc long, rk long, line int, h1 long, h2 long, sig long, keys array<long>"
-    occurrences = written(rows.mapInArrow(_scan(tau, min_chars), kinds), "lines")
+    occurrences = written(rows.mapInArrow(_scan(tau, min_chars, min_chars if exact_chars is None else max(1, exact_chars)), kinds), "lines")
     place = F.struct("doc", "rk", "line")
     firsts = occurrences.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    links = written(edit_links(occurrences, rows, tau, min_chars), "line-links")
+    links = written(edit_links(occurrences.where("keys is not null"), rows, tau, min_chars), "line-links")
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     at = firsts.groupBy("h1").agg(F.min("first").alias("first"))
     own = at.select(F.col("h1").alias("a"), F.col("first").alias("pa"))
@@ -329,9 +336,9 @@ def _digest(shared=None):
     return run
 
 
-def line_digests(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_digests(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped, n_links, kept_sha256: a row for each row of ``docs``."""
-    marks = written(repeated_lines(docs, tau, min_chars), "line-marks")
+    marks = written(repeated_lines(docs, tau, min_chars, exact_chars), "line-marks")
     wanted = HashFilter(marks.select("rk"), "rk")
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kinds = "doc_id long, n_lines long, n_dropped long, n_links long, kept_sha256 string"
@@ -341,10 +348,10 @@ def line_digests(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     return clean.unionAll(touched.mapInArrow(_digest(), kinds))
 
 
-def drop_repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """The rows and columns of ``docs`` with the texts that stay; a document none of whose
     lines with a word stays, though it had some, goes."""
-    marks = repeated_lines(docs, tau, min_chars).select("rk", "lines")
+    marks = repeated_lines(docs, tau, min_chars, exact_chars).select("rk", "lines")
     own = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text", F.struct(*docs.columns).alias("row"))  # so that no name clashes
     joined = own.join(marks, "rk", "left")
     stay = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("lines"), i))
@@ -355,4 +362,4 @@ def drop_repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CH
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_digests(read_table(spark, sf_dir, "documents"))
+    return line_digests(read_table(spark, sf_dir, "documents"), exact_chars=EXACT_CHARS)

@@ -181,6 +181,18 @@ def test_lines_edges(spark):
     assert line_dedup.line_digests(docs(spark, EDGE).limit(0)).count() == 0
 
 
+def test_short_lines_go_by_equality(spark, tmp_path):
+    rows = [(1, "Read more\n\n第一章 开始\na line that is long enough"), (2, "Read more\n\n第一章 开始\nRead mare\nx"), (3, " x \nown"), (None, "x\nlast"), (7, "a line that is long enough!")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in line_dedup.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert {i: (r["n_lines"], r["n_dropped"], r["n_links"]) for i, r in got.items()} == {1: (4, 0, 1), 2: (5, 2, 0), 3: (2, 1, 0), None: (2, 1, 0), 7: (1, 1, 1)}
+    import corpus_pipeline
+
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs(spark, rows), "").collect()}
+    assert left == {1: rows[0][1], 2: "\nRead mare\nx", 3: "own", None: "last"}
+    assert got[2]["kept_sha256"] == hashlib.sha256(left[2].encode()).hexdigest()
+
+
 # 3
 
 
