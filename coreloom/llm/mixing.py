@@ -52,15 +52,17 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) ->
     return filled.select("source", "source_size", F.least(F.col("cap"), F.col("w") * F.coalesce(chosen, F.lit(0.0))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int = 7, quality=None) -> DataFrame:
-    """doc_id, size, source_size, target, taken; ``quality`` is a positive column (default: from JUNK)."""
+def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int = 7, quality=None, row_key: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken; ``quality`` is a positive column (default: from JUNK).
+    ``row_key`` names a column of ``docs`` that comes along in front."""
+    carried = [row_key] if row_key else []
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     if quality is None:
         quality = 1.0 / (1.0 + F.coalesce(F.regexp_count("text", F.lit(JUNK)), F.lit(0)) / F.greatest(words, F.lit(1)))
     key = -F.log(1.0 - uniform(seed, F.col("doc_id"))) / quality
     # a null source and an empty name stay apart
     name = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))
-    keyed = docs.select("doc_id", "source", name.alias("s"), words.alias("size"), key.alias("key"))
+    keyed = docs.select(*carried, "doc_id", "source", name.alias("s"), words.alias("size"), key.alias("key"))
     bin_of = F.least(F.floor((1.0 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int")
     keyed = written(keyed.withColumn("bin", bin_of), "mix")
     bins = keyed.groupBy("s", "bin").agg(F.sum("size").alias("bin_size"), F.first("source").alias("source"))
@@ -72,8 +74,8 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: i
     up_to = F.sum("bin_size").over(W.partitionBy("s").orderBy("bin"))
     placed = bins.withColumn("up_to", up_to).select("s", "bin", "up_to", (F.col("up_to") - F.col("bin_size")).alias("below"))
     placed = placed.join(plan, "s")
-    rows = keyed.select("doc_id", "s", "bin", "size", "key").join(placed, ["s", "bin"])
-    out = ["doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("extra"))).alias("taken")]
+    rows = keyed.select(*carried, "doc_id", "s", "bin", "size", "key").join(placed, ["s", "bin"])
+    out = [*carried, "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("extra"))).alias("taken")]
     edge = (F.col("below") < F.col("rest")) & (F.col("up_to") > F.col("rest"))
     clear = rows.where(~edge).withColumn("extra", F.when(F.col("up_to") <= F.col("rest"), 1).otherwise(0))
     order = W.partitionBy("s").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, 0)
@@ -84,12 +86,23 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: i
 
 
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it is taken. One row a doc_id is expected in ``docs``."""
+    """The mix itself: every document as often as it is taken. One row a doc_id is expected in
+    ``docs``; ``mixed_rows`` is for any rows."""
     times = mixed.where("taken > 0").select(F.col("doc_id").alias("mix_id"), (F.col("taken") / F.col("size")).cast("int").alias("mix_times"))
     rows = docs.select(F.col("doc_id").alias("own_id"), F.struct(*docs.columns).alias("row"))  # so that no name clashes
     return rows.join(times, F.col("own_id").eqNullSafe(F.col("mix_id"))).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("row.*")
 
 
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes that row. Rows may share a doc_id or
+    have none: each gets a key of its own, written with it so that it is the same in both reads."""
+    own = docs.select(F.monotonically_increasing_id().alias("mix_row"), F.struct(*docs.columns).alias("row"))
+    own = written(own, "mix-rows")
+    mixed = mix_sources(own.select("mix_row", "row.doc_id", "row.source", "row.text"), row_key="mix_row", **how)
+    times = mixed.where("taken > 0").select("mix_row", (F.col("taken") / F.col("size")).cast("int").alias("mix_times"))
+    return own.join(times, "mix_row").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("row.*")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 

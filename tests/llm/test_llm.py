@@ -280,6 +280,20 @@ def test_mix_targets_and_limits(spark):
     assert whole.columns == own.columns and whole.count() == sum(x["taken"] // x["size"] for x in got if x["size"])
 
 
+def test_mix_of_rows_that_share_an_id(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    rows = [(i, f"t{n} {words(r, 9)}", "en", s, 0) for n, (i, s) in enumerate([(1, "a")] * 4 + [(None, "a")] * 5 + [(None, "b")] * 30 + [(2, "b")] * 20 + [(k, None) for k in range(40)])]
+    own = spark.createDataFrame(rows, DOCS).repartition(3)
+    plan = mixing.mix_sources(own).collect()
+    out = corpus_pipeline.mix(spark, own, "")
+    assert out.columns == own.columns
+    copies = Counter(map(tuple, out.collect()))
+    assert set(copies) <= set(rows) and max(copies.values()) == 3
+    assert sum(copies.values()) == sum(x["taken"] // x["size"] for x in plan if x["size"])
+
+
 def test_mix_edges(spark):
     got = mixing.mix_sources(docs(spark, EDGE)).collect()
     assert len(got) == len(EDGE) and all(x["taken"] == x["size"] for x in got)
