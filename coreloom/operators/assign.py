@@ -123,7 +123,9 @@ def partition_cost(assigned: DataFrame, centers: DataFrame, measure=vec.d2) -> D
     return assigned.join(c, "cluster").groupBy("cluster").agg(F.sum(measure(F.col("v"), F.col("c"))).alias("cost"))
 
 
-def pairwise(points: DataFrame, measure=vec.d2) -> DataFrame:
-    """a, b, dist for all pairs of a small set."""
-    other = small(points.select(F.col("id").alias("b"), F.col("v").alias("y")))
+def pairwise(points: DataFrame, measure=vec.d2, whole: bool = False) -> DataFrame:
+    """a, b, dist for all pairs of a small set. whole: of any set, partition by partition,
+    with nothing broadcast; the result still has the square of its rows."""
+    other = points.select(F.col("id").alias("b"), F.col("v").alias("y"))
+    other = other.hint("shuffle_replicate_nl") if whole else small(other)
     return points.select(F.col("id").alias("a"), F.col("v").alias("x")).join(other).select("a", "b", measure(F.col("x"), F.col("y")).alias("dist"))

@@ -12,14 +12,17 @@ from coreloom.functions import rng, vec
 from coreloom.session import small
 
 
-def swap_costs(points: DataFrame, centers: DataFrame, candidates: DataFrame) -> DataFrame:
+def swap_costs(points: DataFrame, centers: DataFrame, candidates: DataFrame, whole: bool = False) -> DataFrame:
     """closed (cid), opened (id), cost: for every pair of a centre and a candidate. Centres
-    and candidates are small tables (k and the candidates of a round)."""
+    and candidates are small tables (k and the candidates of a round). whole: any number of
+    candidates, which meet the points partition by partition, with nothing broadcast."""
     near = points.select("id", "v").join(small(centers.select("cid", F.col("v").alias("c"))))
     near = near.select("id", "v", "cid", vec.d2("v", "c").alias("d2"))
     two = near.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("d2", "cid"))).where("r <= 2")
     two = two.groupBy("id").agg(F.first("v").alias("v"), F.min(F.when(F.col("r") == 1, F.col("cid"))).alias("own"), F.min(F.when(F.col("r") == 1, F.col("d2"))).alias("d_own"), F.min(F.when(F.col("r") == 2, F.col("d2"))).alias("d_next"))
-    tried = two.join(small(candidates.select(F.col("id").alias("opened"), F.col("v").alias("q")))).select("opened", "own", "d_own", "d_next", vec.d2("v", "q").alias("d_new"))
+    news = candidates.select(F.col("id").alias("opened"), F.col("v").alias("q"))
+    news = news.hint("shuffle_replicate_nl") if whole else small(news)
+    tried = two.join(news).select("opened", "own", "d_own", "d_next", vec.d2("v", "q").alias("d_new"))
     open_cost = F.least("d_own", "d_new")
     closed_cost = F.least(F.coalesce("d_next", F.lit(float("inf"))), F.col("d_new"))
     sums = tried.groupBy("opened", F.col("own").alias("closed")).agg(F.sum(open_cost).alias("stay"), F.sum(closed_cost).alias("lost"))

@@ -511,6 +511,14 @@ def local_search_swap(spark, d):
     return out.select("closed", "opened", F.round("cost", 6).alias("cost"))
 
 
+@query
+def local_search_swap_whole(spark, d):
+    """Every swap of one of five centres for any other point; no SQL."""
+    p = vectors(spark, d)
+    out = local_search.swap_costs(p, fixed(p, 0, 5), p.where("not id between 0 and 4"), whole=True)
+    return out.select("closed", "opened", F.round("cost", 6).alias("cost"))
+
+
 @query
 def local_search_run(spark, d):
     p = vectors(spark, d)
@@ -558,10 +566,19 @@ def prefix_sums(spark, d):
     return filters.ordered(rows, "grp", "x", "id")
 
 
+def _files(parts):
+    return parts.select(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("f"), F.floor(F.col("p_partkey") / 4), F.lit("-svd-d5.csv"))).otherwise(F.concat(F.lit("f"), F.floor(F.col("p_partkey") / 3), F.lit(".csv"))).alias("path")).distinct()
+
+
 @query
 def paired_files(spark, d):
-    files = table(spark, d, "part").where("p_partkey < 200").select(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("f"), F.floor(F.col("p_partkey") / 4), F.lit("-svd-d5.csv"))).otherwise(F.concat(F.lit("f"), F.floor(F.col("p_partkey") / 3), F.lit(".csv"))).alias("path")).distinct()
-    return filters.pair_reduced_files(files)
+    return filters.pair_reduced_files(_files(table(spark, d, "part").where("p_partkey < 200")))
+
+
+@query
+def paired_files_whole(spark, d):
+    """The pairs of all parts; no SQL."""
+    return filters.pair_reduced_files(_files(table(spark, d, "part")))
 
 
 @query
@@ -582,6 +599,12 @@ def pairwise_distances(spark, d):
     return pairwise(vectors(spark, d).where("id < 20")).select("a", "b", F.round("dist", 6).alias("dist"))
 
 
+@query
+def pairwise_distances_whole(spark, d):
+    """The distances of all pairs of vectors; no SQL."""
+    return pairwise(vectors(spark, d), whole=True).select("a", "b", F.round("dist", 6).alias("dist"))
+
+
 @query
 def union_of_frames(spark, d):
     a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"))
