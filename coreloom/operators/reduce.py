@@ -168,13 +168,16 @@ FROM {cells}, (SELECT r, {m['s1']} AS s1, {m['s3']} AS s3, {m['s0']} AS s0 FROM
 
 def srht_sketch(cells: DataFrame, rows: int, size: int, seed=1) -> DataFrame:
     """Subsampled randomized Hadamard transform: sign flips, Hadamard entries by parity,
-    ``size`` of the padded rows without replacement, 1/sqrt(size)."""
+    ``size`` of the padded rows without replacement, 1/sqrt(size). Row ids are 0 to below
+    ``rows`` padded to a power of two; another id is an error."""
     padded = 1 << max(0, rows - 1).bit_length()
     spark = cells.sparkSession
     picked = spark.range(padded).select(F.col("id").alias("p"), rng.uniform(f"{seed}p", "id").alias("u")).orderBy("u", "p").limit(size)
     ranked = spark.createDataFrame([(i, int(r["p"])) for i, r in enumerate(picked.collect())], "r long, p long")  # size rows
     s = [F.lit(_mask(seed, t)).cast("long") for t in ("s1", "s3", "s0")]
     entry = sign(F.col("row"), *s) * (F.lit(1) - F.lit(2) * (F.bit_count(F.col("p").bitwiseAND(F.col("row"))) % 2))
+    fits = F.col("row").isNull() | F.col("row").between(0, padded - 1)
+    cells = cells.withColumn("row", F.when(fits, F.col("row")).otherwise(F.raise_error(F.concat(F.lit(f"no row of {padded}: "), F.col("row").cast("string"))).cast("long")))
     out = cells.join(F.broadcast(ranked)).select("r", "col", (entry * F.col("val")).alias("val"))
     return out.groupBy(F.col("r").alias("row"), "col").agg((F.sum("val") / F.lit(float(size) ** 0.5)).alias("val"))
 

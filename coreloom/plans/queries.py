@@ -351,7 +351,8 @@ def rad_sketch(spark, d):
 @query
 def srht_sketch(spark, d):
     cells = table(spark, d, "part").select(F.col("p_partkey").alias("row"), (F.col("p_size") % 4).cast("long").alias("col"), F.col("p_retailprice").alias("val"))
-    return reduce.srht_sketch(cells, 32768, 16, 41).select("row", "col", F.round("val", 3).alias("val"))
+    most = cells.agg(F.max("row")).first()[0] or 0
+    return reduce.srht_sketch(cells, max(32768, most + 1), 16, 41).select("row", "col", F.round("val", 3).alias("val"))
 
 
 @query

@@ -40,3 +40,16 @@ def test_local_search_swap_whole(spark, vectors):
     for (c, q), cost in got.items():
         centers = [v[i] for i in range(5) if i != c] + [v[q]]
         assert cost == pytest.approx(sum(min(((x - y) ** 2).sum() for y in centers) for x in v.values()), abs=2e-6)
+
+
+def test_srht_rows_of_any_id(spark, tmp_path):
+    from coreloom.operators import reduce
+
+    rows = [(5, 1, 2.0), (5 + 32768, 1, 3.0), (70_000, 2, 1.0)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    cells = spark.createDataFrame(rows, "row long, col long, val double")
+    got = {(r["row"], r["col"]): r["val"] for r in registry.QUERIES["srht_sketch"](spark, str(tmp_path)).collect()}
+    want = {(r["row"], r["col"]): r["val"] for r in reduce.srht_sketch(cells, 131072, 16, 41).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
+    with pytest.raises(Exception, match="no row of 32768"):
+        reduce.srht_sketch(cells, 32768, 16, 41).collect()
