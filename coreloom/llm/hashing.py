@@ -1,19 +1,26 @@
 """Vectorised hashes of words and of runs of words.
 
-A word is ``[^\\x20\\x09-\\x0D]+`` on the UTF-8 bytes of a text. Hashes are polynomials
-modulo 2**64, taken as differences of prefix sums, and then mixed; they depend on the
-content alone, so every task gets the same hash for the same words."""
+A word is ``[^\\x20\\x09-\\x0D]+`` on the UTF-8 bytes of a text. A word's hash chains a
+bijective finaliser over its blocks of eight bytes (long words: XXH3); a window's hash is a
+tree of such steps over its words' hashes. ``run_hashes``, for runs of any length, is a
+polynomial: structured strings can share one, so it only proposes candidates. All depend on
+the content alone, so every task gets the same hash for the same words. Where rows merge,
+``digest128`` of the bytes decides, a cryptographic digest."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+#: Bytes from which on a word is hashed by itself.
+LONG_WORD = 64
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -65,7 +72,23 @@ class Words:
         self.hash = self.hashes(salt)
 
     def hashes(self, salt: int) -> np.ndarray:
-        return run_hashes(self.data.astype(_U) + _U(1 + salt), self.start, self.end, _BASES[salt % 2])
+        size = self.end - self.start
+        seed = mix64(np.array([salt + 1], _U))[0]
+        h = mix64(size.astype(_U) * _U(_BASES[0]) ^ seed)
+        eight = np.ndarray(len(self.data) + 1, "<u8", np.append(self.data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+        todo = np.flatnonzero(size <= LONG_WORD)
+        at = 0
+        while len(todo):
+            rest = size[todo] - at
+            block = eight[self.start[todo] + at]
+            short = rest < 8
+            block[short] &= (_U(1) << (rest[short].astype(_U) * _U(8))) - _U(1)
+            h[todo] = mix64((h[todo] ^ block) + _U(_BASES[1]))
+            at += 8
+            todo = todo[rest > 8]
+        for i in np.flatnonzero(size > LONG_WORD):
+            h[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]].tobytes(), int(seed))
+        return h
 
     def windows(self, n: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the n words from each word on, which of them lie in one text)."""
@@ -74,7 +97,30 @@ class Words:
             return np.zeros(0, _U), np.zeros(0, bool)
         at = np.arange(len(h) - n + 1)
         text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        return run_hashes(h, at, at + n, _BASES[2]), text[at] == text[at + n - 1]
+        return window_hashes(h, n), text[at] == text[at + n - 1]
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix64(left * _U(_BASES[0]) + mix64(right + _U(_BASES[2])))
+
+
+def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each run of n values, built from those of runs of 1, 2, 4, ... values."""
+    span, power, done, out = 1, h, 0, None
+    while True:
+        if n & span:
+            out = power if out is None else _joined(out[: len(power) - done], power[done:])
+            done += span
+        if done == n:
+            return out[: len(h) - n + 1]
+        power = _joined(power[:-span], power[span:])
+        span *= 2
+
+
+def digest128(parts) -> np.ndarray:
+    """The 128-bit digests of byte strings, as two int64 each."""
+    raw = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts])
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
 def text_chunks(ids, texts: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[list, list[bytes]]]:

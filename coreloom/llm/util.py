@@ -7,6 +7,7 @@ import atexit
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,21 +91,38 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Words of eight bytes that one row of a membership filter carries on its way to the driver.
+_SLICE = 1 << 13
+
+
+def _slice_blob(key: tuple, table: pa.Table) -> pa.Table:
+    filled = np.zeros(_SLICE, np.int64)
+    filled[table["word"].to_numpy() & (_SLICE - 1)] = table["mask"].to_numpy()
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "blob": pa.array([filled.tobytes()], pa.binary())})
+
+
 class HashFilter:
     """Membership filter (a Bloom filter of two probes) for 64-bit hashes. No false
     negatives; false positives only cost work, as an exact step always follows. It keeps
     most rows that cannot matter out of a shuffle. Its size is bounded: ``FILTER_BITS``, or
-    about sixteen bits for each of ``expected`` keys, up to ``MAX_FILTER_BITS``."""
+    about sixteen bits for each of ``expected`` keys, up to ``MAX_FILTER_BITS``. The driver
+    gets no more than these bits, in slices that tasks have put together."""
 
     def __init__(self, keys: DataFrame, column: str, expected: int | None = None):
         bits = FILTER_BITS if expected is None else min(MAX_FILTER_BITS, 1 << max(20, (16 * expected - 1).bit_length()))
         mask = F.lit(bits - 1).cast("long")
         slots = F.array(F.col(column).bitwiseAND(mask), F.shiftrightunsigned(column, 32).bitwiseAND(mask))
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
-        table = keys.select(F.explode(slots).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("mask")).toArrow()
-        filled = np.zeros(bits // 64, np.int64)
-        filled[table["word"].to_numpy()] = table["mask"].to_numpy()
-        self.shared = keys.sparkSession.sparkContext.broadcast(filled.tobytes())
+        table = keys.select(F.explode(slots).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("mask"))
+        parts = table.groupBy(F.floor(F.col("word") / _SLICE).alias("part")).applyInArrow(_slice_blob, "part long, blob binary").toArrow()
+        filled = bytearray(bits // 8)
+        for part, blob in zip(parts["part"].to_pylist(), parts["blob"].to_pylist()):
+            filled[part * _SLICE * 8 : (part + 1) * _SLICE * 8] = blob
+        self.shared = keys.sparkSession.sparkContext.broadcast(bytes(filled))
+
+    def done(self) -> None:
+        """Free the executors' copies; one that is needed again is fetched again."""
+        self.shared.unpersist()
 
 
 def hashes_in(raw: bytes, hashes: np.ndarray) -> np.ndarray:

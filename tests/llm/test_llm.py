@@ -118,6 +118,21 @@ def test_words_are_those_of_the_pattern(texts):
     assert len(set(zip(flat, w.hash.tolist()))) == len(set(flat)) == len(set(w.hash.tolist()))
 
 
+def thue_morse(a, b, n=1024):
+    """Two different strings that every polynomial hash modulo 2**64 takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_structured_strings_stay_apart():
+    a, b = thue_morse("a", "b")
+    w = Words([f"{a} {b} {a}x {b}x".encode()])
+    assert len(set(w.hash.tolist())) == 4
+    runs = Words([x.replace("a", "one ").replace("b", "two ").encode() for x in (a, b)])
+    windows, _ = runs.windows(1024)
+    assert windows[0] != windows[1024]
+
+
 # 2
 
 
@@ -137,7 +152,9 @@ def test_banded_distance(a, b, tau):
     assert line_dedup.within(a, b, tau) == (distance(a, b) <= tau)
 
 
-def test_lines_brute_force(spark):
+@pytest.mark.parametrize("bucket", [4000, 6])
+def test_lines_brute_force(spark, bucket, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BUCKET", bucket)
     r = random.Random(2)
     base = ["".join(r.choice("abcdé ") for _ in range(r.randrange(6, 24))).strip() for _ in range(40)]
 
@@ -181,6 +198,24 @@ def test_lines_edges(spark):
     assert line_dedup.line_digests(docs(spark, EDGE).limit(0)).count() == 0
 
 
+def test_lines_equal_by_hash_alone_stay(spark):
+    a, b = thue_morse("a", "b")
+    rows = [(1, f"{a}\nthis line is long enough"), (2, f"{b}\nthis line is long enough")]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_digests(docs(spark, rows)).collect()}
+    assert got == {1: 0, 2: 1}
+
+
+def test_near_lines_give_a_row_each(spark):
+    """n lines within two edits of each other: n rows come out of the buckets, not n * n."""
+    r = random.Random(6)
+    base = "the same line with a number in it and a few words more"
+    places = r.sample([(i, c) for i in range(len(base)) for c in "0123456789"], 300)
+    rows = [(k, base[:i] + c + base[i + 1 :]) for k, (i, c) in enumerate(places)]
+    own = docs(spark, rows)
+    got = {x["doc_id"]: (x["n_dropped"], x["n_links"]) for x in line_dedup.line_digests(own).collect()}
+    assert got == {k: (int(k > 0), 299) for k in range(300)}
+
+
 def test_short_lines_go_by_equality(spark, tmp_path):
     rows = [(1, "Read more\n\n第一章 开始\na line that is long enough"), (2, "Read more\n\n第一章 开始\nRead mare\nx"), (3, " x \nown"), (None, "x\nlast"), (7, "a line that is long enough!")]
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
