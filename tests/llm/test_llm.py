@@ -31,6 +31,12 @@ def words(r, n, vocabulary=400):
     return " ".join(f"w{r.randrange(vocabulary)}" for _ in range(n))
 
 
+def thue_morse(a, b, n=1024):
+    """Two different strings that every polynomial hash modulo 2**64 takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
 EDGE = [(1, None), (2, ""), (3, " \n\t"), (None, "a b c d e f"), (4, "x"), (4, "x"), (5, "é ü 中文 word"), (6, "long " * 30_000)]
 
 
@@ -86,15 +92,46 @@ def test_substrings_in_a_repeated_section(spark, batches):
     assert [x[2] for x in got] == [0, 14, 42, 0]
 
 
-def test_index_compacts(spark):
-    index = substring_dedup.FingerprintIndex(spark, 10, 4, fan_in=2)
+def batch_of(spark, rows):
+    return spark.createDataFrame([(k, k, t) for k, t in rows], "doc long, rk long, text string")
+
+
+def marked_windows(found):
+    return {(r["doc"], r["start"] + i) for r in found.collect() for i in range(r["n"])}
+
+
+def test_index_is_opened_again_and_compacts(spark, tmp_path):
+    """A new object on the same folder goes on where the last one stopped."""
     r = random.Random(4)
-    for k in range(4):
-        text = words(r, 30)
-        rows = spark.createDataFrame([(k, k, text)], "doc long, rk long, text string")
-        index.ingest(rows)
-        assert len(index.tables) < 2 + 1
-    assert index.tables[0].select("run").distinct().count() == index.tables[0].count()
+    shared = words(r, 25, 10**6)
+    texts = [(k, " ".join([words(r, 8), shared if k % 2 else words(r, 25), words(r, 8)])) for k in range(12)]
+    got, seen = set(), []
+    for k in range(0, 12, 3):
+        index = substring_dedup.FingerprintIndex(spark, f"{tmp_path}/index", 10, 4, fan_in=3)
+        assert index.version == len(seen)
+        got |= marked_windows(index.ingest(batch_of(spark, texts[k : k + 3])))
+        seen = [0] * index.version
+        assert len(index.tables) < 3
+    assert index.version == 4 + 1  # four batches, one compaction
+    assert index.tables[0].select("d1", "d2").distinct().count() == index.tables[0].count()
+    want, first = set(), {}
+    for k, t in texts:
+        w = t.split()
+        for s in range(len(w) - 9):
+            if first.setdefault(tuple(w[s : s + 10]), k) < k:
+                want.add((k, s))
+    assert got == want and want
+    plan = index.tables[0].join(index.tables[-1].select("d1", "d2", F.col("doc").alias("d")), ["d1", "d2"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+
+
+def test_words_equal_by_hash_alone_stay(spark):
+    a, b = thue_morse("a", "b")
+    r = random.Random(2)
+    some = words(r, 60, 10**6)
+    rows = [(1, f"{some} {a} z"), (2, f"{some} {b} z"), (3, " ".join([a] * 60)), (4, " ".join([b] * 60))]
+    got = sorted(map(tuple, substring_dedup.dedup_substrings(docs(spark, rows)).drop("kept").collect()))
+    assert got == brute_windows(rows, 50) and [x[2] for x in got] == [0, 60, 0, 0]
 
 
 def test_substrings_edges(spark):
@@ -118,12 +155,6 @@ def test_words_are_those_of_the_pattern(texts):
     assert len(set(zip(flat, w.hash.tolist()))) == len(set(flat)) == len(set(w.hash.tolist()))
 
 
-def thue_morse(a, b, n=1024):
-    """Two different strings that every polynomial hash modulo 2**64 takes for one."""
-    bits = [bin(i).count("1") % 2 for i in range(n)]
-    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
-
-
 def test_structured_strings_stay_apart():
     a, b = thue_morse("a", "b")
     w = Words([f"{a} {b} {a}x {b}x".encode()])
