@@ -17,7 +17,8 @@ whose conversation id is null form one conversation; an empty table gives an emp
 Columns other than the four named are ignored.
 
 A conversation is one document of the output, so its turns meet in one row by nature;
-the aggregation is by conversation and nothing else is gathered."""
+the aggregation is by conversation and nothing else is gathered. Rendering and parsing a
+conversation of n turns take work in proportion to n (sums: ``BLOCK`` + n / ``BLOCK`` a turn)."""
 
 from __future__ import annotations
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from coreloom.llm.util import read_table
 
 END, HEAD = "</turn>", "### "
+#: Turns whose lengths are summed together.
+BLOCK = 256
 #: Written characters of level 1: fixed values of the format.
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"), (":", "\\c"))
 
@@ -49,37 +52,56 @@ def _render(turns: Column, level: int) -> Column:
     return F.concat(F.lit(f"chat {level}\n"), F.array_join(each, ""))
 
 
-def parse_turns(rendered: Column) -> Column:
-    """array<struct<role, text, start, length>>; start (from 1) and length are the code
-    points of the written text in ``rendered``."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, also where a lambda in it uses the value."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _before(sizes: Column, first: int) -> Column:
+    """``first`` and what stands before each place of ``sizes``, summed. A fold copies its state
+    at every step, so sums run over blocks of ``BLOCK`` places and then over the blocks."""
+    running = lambda start: lambda x: F.aggregate(x, F.array(F.lit(start)), lambda acc, y: F.concat(acc, F.array(F.element_at(acc, -1) + y)))
+
+    def placed(sums):
+        bases = running(first)(F.transform(sums, lambda x: F.element_at(x, -1)))
+        shifted = lambda x, base: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y: y + base)
+        return F.flatten(F.zip_with(sums, F.slice(bases, F.lit(1), F.size(sums)), shifted))
+
+    def cut(s):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / BLOCK).cast("int")), lambda k: F.slice(s, k * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(s) > 0, _let(F.transform(blocks, running(0)), placed)).otherwise(F.array().cast("array<int>"))
+
+    return _let(sizes, cut)
+
+
+def _parsed(rendered: Column) -> Column:
     level = F.substring(rendered, 6, 1)
     parts = F.split(F.substring(rendered, F.lit(8), F.length(rendered)), END + "\n")
-    parts = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    parts = _let(parts, lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))))
     sized = F.transform(parts, lambda p: F.struct(p.alias("part"), F.greatest(F.instr(p, ": "), F.lit(0)).alias("at")))
+    opened = lambda c: F.when(level == "1", unescape(c)).otherwise(c)
     head = len(HEAD)
     turns = F.transform(
         sized,
         lambda x: F.struct(
-            F.substring(x["part"], F.lit(head + 1), F.greatest(x["at"] - head - 1, F.lit(0))).alias("role"),
-            F.substring(x["part"], x["at"] + 2, F.length(x["part"])).alias("text"),
+            opened(F.substring(x["part"], F.lit(head + 1), F.greatest(x["at"] - head - 1, F.lit(0)))).alias("role"),
+            opened(F.substring(x["part"], x["at"] + 2, F.length(x["part"]))).alias("text"),
             (x["at"] + 1).alias("skip"),
             F.length(x["part"]).alias("size"),
         ),
     )
-    opened = lambda c: F.when(level == "1", unescape(c)).otherwise(c)
-    # the start of each turn is the sum of what stands before it
-    folded = F.aggregate(
-        turns,
-        F.struct(F.lit(8).alias("next"), F.array().cast("array<struct<role:string,text:string,start:int,length:int>>").alias("turns")),
-        lambda acc, t: F.struct(
-            (acc["next"] + t["size"] + len(END) + 1).alias("next"),
-            F.concat(
-                acc["turns"],
-                F.array(F.struct(opened(t["role"]).alias("role"), opened(t["text"]).alias("text"), (acc["next"] + t["skip"]).alias("start"), (t["size"] - t["skip"]).alias("length"))),
-            ).alias("turns"),
-        ),
-    )
-    return folded["turns"]
+
+    def whole(t):
+        starts = _before(F.transform(t, lambda x: x["size"] + len(END) + 1), 8)
+        return F.zip_with(t, starts, lambda x, s: F.struct(x["role"].alias("role"), x["text"].alias("text"), (s + x["skip"]).alias("start"), (x["size"] - x["skip"]).alias("length")))
+
+    return _let(turns, whole)
+
+
+def parse_turns(rendered: Column) -> Column:
+    """array<struct<role, text, start, length>>; start (from 1) and length are the code
+    points of the written text in ``rendered``."""
+    return _let(rendered, _parsed)
 
 
 def _plain(turns: Column) -> Column:
@@ -112,9 +134,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
 def digest(chats: DataFrame) -> DataFrame:
     """The contract's columns, all derived from ``formatted`` and the spans read from it."""
-    spans = F.filter("turns", lambda t: t["role"] == "assistant")
-    written = F.transform(spans, lambda t: F.substring(F.col("formatted"), t["start"], t["length"]))
-    opened = F.transform(written, lambda s: F.when(F.col("level") == 1, unescape(s)).otherwise(s))
+    # the spans' content, as the parser read it: a substring by code points would start from the front each time
+    opened = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"])
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     out = chats.select("conv_id", "level", "turns", "formatted", F.array_join(opened, "").alias("loss"), whole.alias("whole"))
     return out.select(
