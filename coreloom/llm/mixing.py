@@ -7,9 +7,15 @@ A source takes its whole epochs of every document first; the rest of its target
 documents in the order of keys ``-ln(1 - u) / quality``, u from a hash of the id, up to
 the budget by prefix sum. The document across the edge is taken if that is nearer.
 
-The prefix sum never meets in one task: keys fall into 1,024 ordered bins per source,
-bins are summed, and only the documents of the one bin that holds a source's edge are
-ordered.
+The quality of a document is a positive column of the caller. The query takes it from the
+table ``labels``: ``QUALITY`` for documents judged good, not judged, and judged bad (the
+smallest label of an id counts).
+
+The prefix sum never meets in one task: keys fall into ordered bins per source, ``COARSE``
+quantiles of the source's own keys, each cut into ``FINE`` of equal width; bins are summed,
+and only the documents of the one bin that holds a source's edge are ordered. The quantiles
+are approximate, but they only say who is ordered where: the result doesn't depend on them.
+Sources themselves (a row each) are ordered in one task.
 
 Defined cases: null text has size 0 and takes 0; null source is a source of its own,
 placed last; repeated rows and ties of keys are ordered by doc_id and size; an empty
@@ -23,10 +29,12 @@ from pyspark.sql import functions as F
 
 from coreloom.llm.util import read_table, written
 
-BINS = 1024
+COARSE, FINE = 64, 16
+#: Sources whose quantiles (half a KB each) are broadcast at most; more are joined.
+BROADCAST_SOURCES = 20_000
+#: Quality of a document with label 1, without one, with label 0.
+QUALITY = (1.0, 0.5, 0.125)
 WORD = r"[^\x20\x09-\x0D]+"
-#: Characters that speak against a text: its quality is 1 / (1 + their number per word).
-JUNK = r"[#$%&*|^~<>@{}=+_]"
 
 
 def uniform(seed: int, key) -> F.Column:
@@ -52,19 +60,45 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) ->
     return filled.select("source", "source_size", F.least(F.col("cap"), F.col("w") * F.coalesce(chosen, F.lit(0.0))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int = 7, quality=None, row_key: str | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken; ``quality`` is a positive column (default: from JUNK).
-    ``row_key`` names a column of ``docs`` that comes along in front."""
+def _binned(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with ``bin``: ordered ranges of a source's keys, none with much more than a
+    ``COARSE``-th of its documents unless keys are equal."""
+    at = [i / COARSE for i in range(COARSE + 1)]
+    edges = keyed.groupBy("s").agg(F.percentile_approx("key", at, 10_000).alias("edges")).withColumnRenamed("s", "edge_s")
+    edges = written(edges, "mix-edges")
+    edges = F.broadcast(edges) if edges.count() <= BROADCAST_SOURCES else edges
+    rows = keyed.join(edges, F.col("s") == F.col("edge_s"))
+    below = F.greatest(F.size(F.filter("edges", lambda x: x < F.col("key"))), F.lit(1))
+    rows = rows.withColumn("coarse", F.least(below, F.lit(COARSE)))
+    low, high = F.element_at("edges", F.col("coarse")), F.element_at("edges", F.col("coarse") + 1)
+    fine = F.when(high > low, F.floor((F.col("key") - low) / (high - low) * FINE)).otherwise(F.lit(0))
+    fine = F.least(F.greatest(fine, F.lit(0)), F.lit(FINE - 1))
+    return rows.withColumn("bin", (F.col("coarse") * FINE + fine).cast("int")).select(*keyed.columns, "bin")
+
+
+def labelled_quality(docs: DataFrame, labels: DataFrame, as_: str) -> DataFrame:
+    """``docs`` with a column from the labels (doc_id, quality) of their ids."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("label"))
+    good, none, bad = QUALITY
+    value = F.when(F.col("label") == 1, good).when(F.col("label").isNull(), none).otherwise(bad)
+    return docs.join(known, docs["doc_id"] == known["label_id"], "left").select(*[docs[c] for c in docs.columns], value.alias(as_))
+
+
+def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int = 7, quality=None, row_key: str | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken; ``quality`` is a positive column (default: from
+    ``labels`` (doc_id, quality), or all alike). ``row_key`` names a column of ``docs`` that
+    comes along in front."""
     carried = [row_key] if row_key else []
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    if quality is None:
-        quality = 1.0 / (1.0 + F.coalesce(F.regexp_count("text", F.lit(JUNK)), F.lit(0)) / F.greatest(words, F.lit(1)))
-    key = -F.log(1.0 - uniform(seed, F.col("doc_id"))) / quality
+    quality = F.lit(1.0) if quality is None else F.col(quality) if isinstance(quality, str) else quality
     # a null source and an empty name stay apart
     name = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))
-    keyed = docs.select(*carried, "doc_id", "source", name.alias("s"), words.alias("size"), key.alias("key"))
-    bin_of = F.least(F.floor((1.0 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int")
-    keyed = written(keyed.withColumn("bin", bin_of), "mix")
+    sized = docs.select(*carried, "doc_id", "source", name.alias("s"), words.alias("size"), quality.alias("quality"))
+    if labels is not None:  # after the sizes, so that no text is shuffled
+        sized = labelled_quality(sized.drop("quality"), labels, "quality")
+    key = -F.log(1.0 - uniform(seed, F.col("doc_id"))) / F.col("quality")
+    keyed = sized.select(*carried, "doc_id", "source", "s", "size", key.alias("key"))
+    keyed = _binned(written(keyed, "mix"))
     bins = keyed.groupBy("s", "bin").agg(F.sum("size").alias("bin_size"), F.first("source").alias("source"))
     sizes = bins.groupBy("s").agg(F.first("source").alias("source"), F.sum("bin_size").alias("source_size"))
     targets = source_targets(sizes.select("source", "source_size"), weights, max_epochs)
@@ -86,9 +120,11 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: i
 
 
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it is taken. One row a doc_id is expected in
-    ``docs``; ``mixed_rows`` is for any rows."""
+    """The mix itself: every document as often as it is taken, for ``docs`` in which no two
+    rows share a doc_id and none is null (an error otherwise: ``mixed_rows`` takes any rows)."""
     times = mixed.where("taken > 0").select(F.col("doc_id").alias("mix_id"), (F.col("taken") / F.col("size")).cast("int").alias("mix_times"))
+    alone = F.when((F.count("*") == 1) & F.col("mix_id").isNotNull(), F.first("mix_times"))
+    times = times.groupBy("mix_id").agg(F.coalesce(alone, F.raise_error(F.lit("rows share a doc_id or have none: use mixed_rows")).cast("int")).alias("mix_times"))
     rows = docs.select(F.col("doc_id").alias("own_id"), F.struct(*docs.columns).alias("row"))  # so that no name clashes
     return rows.join(times, F.col("own_id").eqNullSafe(F.col("mix_id"))).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select("row.*")
 
@@ -104,17 +140,19 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(read_table(spark, sf_dir, "documents"))
+    return mix_sources(read_table(spark, sf_dir, "documents"), labels=read_table(spark, sf_dir, "labels"))
 
 
 SQL = r"""
-WITH d AS (
+WITH q AS (
+  SELECT doc_id AS label_id, min(quality) AS label FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-    coalesce(len(regexp_extract_all(text, '[#$%&*|^~<>@{}=+_]')), 0) AS junk FROM documents),
+    CASE WHEN label = 1 THEN 1.0 WHEN label IS NULL THEN 0.5 ELSE 0.125 END::DOUBLE AS quality
+  FROM documents LEFT JOIN q ON doc_id = label_id),
 k AS (
   SELECT doc_id, source, size,
-    -ln(1.0::DOUBLE - ('0x' || substr(md5('7:' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)
-      / (1.0::DOUBLE / (1.0::DOUBLE + junk::DOUBLE / greatest(size, 1)::DOUBLE)) AS key FROM d),
+    -ln(1.0::DOUBLE - ('0x' || substr(md5('7:' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE) / quality AS key FROM d),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS pos FROM k GROUP BY source),
 w AS (
