@@ -6,22 +6,24 @@
    shingle and interval is the seed of one Poisson process over time, signature component
    and unit cell of the interval. A point counts if its cell lies below the weight. The
    first counting point of each component is its signature, so two components are equal
-   with probability sum(min) / sum(max), the weighted Jaccard similarity. Intervals above
-   a weight are never looked at, and times beyond the last component's are not generated.
-2. Texts with the same words collapse to the smallest doc_id. Signatures are banded; in a
+   with probability sum(min) / sum(max), the weighted Jaccard similarity. The dyadic intervals
+   are the levels of the hierarchy: those above a weight are never looked at, a point of the
+   level that a weight cuts counts by its cell, and times beyond the last component's are not
+   generated.
+2. Texts with the same words (by a 128-bit cryptographic digest) collapse to the smallest doc_id. Signatures are banded; in a
    bucket every document is paired with the smallest one alone (a star, not all pairs).
 3. Pairs are verified on the true multisets, in groups of one leader and at most about
    ``GROUP`` of its documents. A document that is unlike its leader is compared with all
    others of the star, block by block, so no link of a bucket is lost; overlaps come from
-   matrix products and only links that join two parts are given out. This is the one part
-   that grows with the square of a star: of its documents below the threshold.
+   matrix products and only links that join two parts are given out. Of n documents of a star
+   with u below the threshold this gives out n * (u / ``GROUP`` + 1) rows, none where u is 0.
 4. Verified pairs are joined to classes by star contraction.
 
 Similar: sum(min) / sum(max) >= 0.8. The smallest doc_id of a class is its id and stays.
 
 Defined cases: a text without words (null, empty) is a class of its own; rows with a null
 doc_id are classes of their own with a null id and stay; rows that share a doc_id are one
-document; an empty table gives an empty one; other columns are ignored."""
+document, of which one row stays; an empty table gives an empty one; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coreloom.llm.hashing import _BASES, Words, mix64, run_hashes, text_chunks
+from coreloom.llm.hashing import Words, digest128, mix64, text_chunks, window_hashes
 from coreloom.llm.util import HashFilter, dropped, hashes_in, read_table, written
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -43,21 +45,24 @@ GROUP = 1000
 _U = np.uint64
 
 
-def multisets(texts: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle, weight) of all texts, by text and then shingle; hash of each text's words."""
+def multisets(texts: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, weight) of all texts, by text and then shingle."""
     w = Words(texts)
     counts = np.diff(w.first)
     size = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
     text = np.repeat(np.arange(len(texts)), size)
     at = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size) + w.first[text]
-    shingle = run_hashes(w.hash, at, at + np.minimum(n, counts)[text], _BASES[2]) if len(text) else np.zeros(0, _U)
-    whole = run_hashes(w.hash, w.first[:-1], w.first[1:], _BASES[1]) if len(w.hash) else np.zeros(len(texts), _U)
+    shingle = np.zeros(len(text), _U)
+    for k in range(1, n + 1):  # a shorter text is one shingle
+        own = np.minimum(counts, n)[text] == k
+        if own.any():
+            shingle[own] = window_hashes(w.hash, k)[at[own]] ^ mix64(np.array([k], _U))[0]
     order = np.lexsort((shingle, text))
     text, shingle = text[order], shingle[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1])
     first = np.flatnonzero(new)
-    return text[first], shingle[first], np.diff(np.append(first, len(text))), whole
+    return text[first], shingle[first], np.diff(np.append(first, len(text)))
 
 
 def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts: int, m: int) -> np.ndarray:
@@ -116,20 +121,19 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _scan(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, texts in text_chunks(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                text, shingle, weight, whole = multisets(texts, n)
+            for ids, texts in text_chunks(range(b.num_rows), b.column(1).cast(pa.binary()).to_pylist()):
+                text, shingle, weight = multisets(texts, n)
                 sig = signatures(text, shingle, weight, len(texts), bands * rows)
                 filled = np.bincount(text, minlength=len(texts)) > 0
                 h = bands_of(sig, bands, rows)
                 offsets = np.concatenate([[0], np.cumsum(np.where(filled, bands, 0))]).astype(np.int32)
-                # the second half of the identity of a text's words: all shingles and weights
-                bag = np.zeros(len(texts), _U)
-                np.add.at(bag, text, mix64(shingle ^ mix64(weight.astype(_U))))
+                same = digest128(b" ".join(t.split()) for t in texts)  # texts with the same words
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc": pa.array(ids, pa.int64()),
-                        "h1": pa.array(whole.view(np.int64)),
-                        "h2": pa.array(bag.view(np.int64)),
+                        "doc": b.column(0).take(pa.array(ids)),
+                        "row": b.column(2).take(pa.array(ids)),
+                        "h1": pa.array(same[:, 0]),
+                        "h2": pa.array(same[:, 1]),
                         "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[filled].ravel().view(np.int64))),
                     }
                 )
@@ -245,7 +249,7 @@ def _verify(n: int, least: float):
             texts = batch.column(5).cast(pa.binary()).to_pylist()
             at = 0
             for _, own in text_chunks(range(len(texts)), texts):
-                text, shingle, weight, _ = multisets(own, n)
+                text, shingle, weight = multisets(own, n)
                 cut = np.searchsorted(text, np.arange(len(own) + 1))
                 for i in range(len(own)):
                     if keys[at] != key:
@@ -304,12 +308,14 @@ def similar_pairs(bands: DataFrame, texts: DataFrame, n: int, least: float) -> D
     first = first.unionAll(parted.select("leader", F.col("block").alias("i"), kind, F.col("leader").alias("doc"), F.lit(0).alias("role")).distinct())
     found = verified(first)
     pairs = found.where("not failed").select("a", "b")
-    # in stars of several groups, those unlike their leader meet all others block by block
-    unlike = found.where("failed").select(F.col("a").alias("leader"), F.col("b").alias("doc"))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    many = parted.where("blocks > 1")
-    asked = many.join(unlike, ["leader", "doc"]).select("leader", F.col("block").alias("i"), each.alias("j"), "doc", F.lit(0).alias("role"))
-    others = many.select("leader", each.alias("i"), F.col("block").alias("j"), "doc", F.lit(1).alias("role"))
+    # in stars of several groups, those unlike their leader, dealt to blocks of their own, meet
+    # all others block by block; a star without such documents gives nothing out here
+    unlike = written(found.where("failed").select(F.col("a").alias("leader"), F.col("b").alias("doc")), "unlike")
+    rows = unlike.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    asked = parted.join(unlike, ["leader", "doc"]).join(rows, "leader")
+    asked = asked.select("leader", F.pmod(F.xxhash64("doc"), "parts").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "doc", F.lit(0).alias("role"))
+    others = parted.where("blocks > 1").join(rows, "leader")
+    others = others.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.col("block").alias("j"), "doc", F.lit(1).alias("role"))
     return pairs.unionAll(verified(asked.unionAll(others)).select("a", "b")).distinct()
 
 
@@ -342,12 +348,14 @@ def components(pairs: DataFrame) -> DataFrame:
         mark = seen
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id (the class' smallest doc_id), kept: a row for each row of ``docs``."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    with_id = own.where("doc is not null")
-    scan = written(with_id.mapInArrow(_scan(shingle, bands, rows), "doc long, h1 long, h2 long, bands array<long>"), "minhash")
-    some = scan.where(F.size("bands") > 0)
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, row_key: str | None = None) -> DataFrame:
+    """doc_id, class_id (the class' smallest doc_id), kept: a row for each row of ``docs``; with
+    ``row_key``, a column of longs, also that, and of rows that share an id only one is kept."""
+    key = F.col(row_key) if row_key else F.monotonically_increasing_id()
+    own = docs.select(key.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    with_id = own.where("doc is not null").select("doc", "text")
+    scan = written(own.select("doc", "text", "row").mapInArrow(_scan(shingle, bands, rows), "doc long, row long, h1 long, h2 long, bands array<long>"), "minhash")
+    some = scan.where("doc is not null and size(bands) > 0")
     groups = written(some.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.count("*").alias("n")), "words")
     reps = groups.select(F.col("rep").alias("doc"), "h1", "h2").join(some, ["doc", "h1", "h2"]).select("doc", F.explode("bands").alias("band")).distinct()
     banded = written(reps, "bands")
@@ -355,9 +363,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     # rows with the same words, or the same id, belong together too
     same = some.join(groups.where("n > 1"), ["h1", "h2"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     classes = components(pairs.unionAll(same))
-    out = scan.select("doc").join(classes, "doc", "left").select(F.col("doc").alias("doc_id"), F.coalesce("class", "doc").alias("class_id"))
-    out = out.unionAll(own.where("doc is null").select(F.col("doc").alias("doc_id"), F.col("doc").alias("class_id")))
-    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    # of the rows of an id that stays, the first by the digest of its words and its key
+    first = scan.where("doc is not null").groupBy("doc").agg(F.min(F.struct("h1", "h2", "row")).alias("first"))
+    known = first.join(classes, "doc", "left").select(F.col("doc").alias("known"), F.coalesce("class", "doc").alias("class_id"), F.col("first.row").alias("first"))
+    out = scan.select("row", "doc").join(known, F.col("doc") == F.col("known"), "left")
+    kept = F.col("doc").isNull() | ((F.col("doc") == F.col("class_id")) & (F.col("row") == F.col("first")))
+    named = [F.col("row").alias(row_key)] if row_key else []
+    return out.select(*named, F.col("doc").alias("doc_id"), "class_id", kept.alias("kept"))
+
+
+def kept_rows(docs: DataFrame, **how) -> DataFrame:
+    """The rows and columns of ``docs`` that stay: one row of each class, and all without an id."""
+    own = docs.select(F.monotonically_increasing_id().alias("near_row"), F.struct(*docs.columns).alias("near_all"))
+    own = written(own, "near-rows")  # with its keys, so that they are the same in both reads
+    gone = near_duplicates(own.select("near_row", "near_all.doc_id", "near_all.text"), row_key="near_row", **how).where("not kept")
+    return own.join(gone.select("near_row"), "near_row", "left_anti").select("near_all.*")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

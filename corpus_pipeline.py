@@ -7,10 +7,15 @@ but for the last, which returns the packed pieces.
   that are ``und`` (null, or without a letter) go.
 * Line dedup: repeated lines go from the texts; a document all of whose words stood in
   repeated lines goes.
-* MinHash near-dedup: of each class the document with the smallest id stays.
-* Mixing: documents come as often as the mix takes them, so rows may repeat.
+* MinHash near-dedup: of each class the document with the smallest id stays, in one row.
+* Mixing: documents come as often as the mix takes them, so rows may repeat; their quality
+  comes from the table ``labels``.
 * Packing: every piece of every row gets its place.
 
+Defined cases: rows with a null doc_id stay documents of their own, but for a null text, which
+goes with the other ``und``; rows that share a doc_id leave the near-dedup as one; empty
+tables give an empty result.
+
 No stage can be written in SQL (a fitted classifier, a tokenizer), so there is no oracle."""
 
 from __future__ import annotations
@@ -34,12 +39,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("near_id"))
-    return docs.join(gone, docs["doc_id"] == gone["near_id"], "left_anti")
+    return minhash.kept_rows(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_rows(docs)
+    return mixing.mixed_rows(docs, labels=util.read_table(spark, sf_dir, "labels") if sf_dir else None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -342,6 +342,8 @@ def test_mix_targets_and_limits(spark):
     assert target["a"] <= 3 * size["a"] and all(abs(taken[s] - target[s]) <= 31 for s in target)
     again = mixing.mix_sources(own.repartition(7)).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    with pytest.raises(Exception, match="use mixed_rows"):
+        mixing.repeated(own.unionAll(own), mixing.mix_sources(own.unionAll(own))).count()
     whole = mixing.repeated(own, mixing.mix_sources(own))
     assert whole.columns == own.columns and whole.count() == sum(x["taken"] // x["size"] for x in got if x["size"])
 
@@ -360,6 +362,21 @@ def test_mix_of_rows_that_share_an_id(spark):
     assert sum(copies.values()) == sum(x["taken"] // x["size"] for x in plan if x["size"])
 
 
+def test_mix_bins_are_even_and_quality_counts(spark):
+    """Bad documents, however bad, fill no bin; good ones are taken first."""
+    r = random.Random(4)
+    rows = [(i, words(r, 20), "en", "a", 0) for i in range(4000)] + [(9000 + i, words(r, 20), "en", "b", 0) for i in range(1500)]
+    own = spark.createDataFrame(rows, DOCS)
+    key = -F.log(1.0 - mixing.uniform(7, F.col("doc_id"))) / F.lit(1 / 11)
+    keyed = own.select("doc_id", F.lit("=a").alias("s"), key.alias("key"))
+    sizes = [x["n"] for x in mixing._binned(keyed).groupBy("bin").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 5500 / mixing.COARSE * 1.5 and len(sizes) > 500
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 4000)] + [(5, 0), (None, 1)], "doc_id long, quality int")
+    got = mixing.mix_sources(own, weights=(1, 1), labels=labels).collect()
+    share = lambda odd: sum(x["taken"] // 20 for x in got if x["doc_id"] < 4000 and x["doc_id"] % 2 == odd)
+    assert share(1) > 1.5 * share(0)
+
+
 def test_mix_edges(spark):
     got = mixing.mix_sources(docs(spark, EDGE)).collect()
     assert len(got) == len(EDGE) and all(x["taken"] == x["size"] for x in got)
@@ -533,7 +550,7 @@ def test_signature_estimates_weighted_jaccard():
     r = random.Random(10)
     a = " ".join(f"w{r.randrange(30)}" for _ in range(400))
     b = " ".join(a.split()[:300] + [f"w{r.randrange(30)}" for _ in range(60)])
-    text, shingle, weight, _ = minhash.multisets([a.encode(), b.encode()], 1)
+    text, shingle, weight = minhash.multisets([a.encode(), b.encode()], 1)
     sig = minhash.signatures(text, shingle, weight, 2, 4096)
     x, y = Counter(a.split()), Counter(b.split())
     want = sum((x & y).values()) / sum((x | y).values())
@@ -542,13 +559,52 @@ def test_signature_estimates_weighted_jaccard():
 
 def test_near_edges(spark):
     got = minhash.near_duplicates(docs(spark, [*EDGE, (None, "a b c d e f")])).collect()
-    assert len(got) == len(EDGE) + 1 and all(r["kept"] for r in got)
+    assert len(got) == len(EDGE) + 1 and [r["doc_id"] for r in got if not r["kept"]] == [4]  # one of its two rows
+    assert {r["class_id"] for r in got} == {r["doc_id"] for r in got}
     assert minhash.near_duplicates(docs(spark, EDGE).limit(0)).count() == 0
 
 
+def test_words_with_one_hash_are_two_classes(spark):
+    a, b = thue_morse("a", "b")
+    rows = [(1, " ".join([a] * 60)), (2, " ".join([b] * 60)), (3, " ".join([b] * 60))]
+    got = {x["doc_id"]: x["class_id"] for x in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
+
+
+def test_a_star_of_like_documents_is_linear(spark, monkeypatch):
+    """400 near copies in groups of 20: each text is fed to the verification once, leaders a group."""
+    monkeypatch.setattr(minhash, "GROUP", 20)
+    r = random.Random(3)
+    base = words(r, 300, 10**6).split()
+    rows = [(k, " ".join(base[:k] + [f"n{k}"] + base[k + 1 :]) if k else " ".join(base)) for k in range(300)]
+    fed = []
+    real = minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, what: fed.append((what, real(df, what))) or fed[-1][1])
+    got = minhash.near_duplicates(docs(spark, rows)).collect()
+    assert {x["class_id"] for x in got} == {0} and sum(x["kept"] for x in got) == 1
+    assert [df.count() for what, df in fed if what == "unlike"] == [0]
+    assert [df.count() for what, df in fed if what == "verified"][1] == 0
+
+
+def test_one_row_of_a_class_stays(spark):
+    r = random.Random(5)
+    a, b = words(r, 60), words(r, 60)
+    rows = [(1, a), (1, a), (1, b), (2, a), (3, b), (None, a), (None, a), (4, None), (4, None)]
+    left = sorted(map(str, minhash.kept_rows(docs(spark, rows)).select("doc_id").toPandas()["doc_id"].astype("Int64")))
+    assert left == ["1", "4", "<NA>", "<NA>"]
+
+
 # 10
 
 
+def test_long_conversation(spark):
+    n = 50_000
+    rows = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id) AS text")
+    got = chat_format.digest(chat_format.format_chats(rows)).first()
+    loss = "".join(f"turn {i}" for i in range(1, n, 2))
+    assert got["n_turns"] == n and got["loss_chars"] == len(loss) and got["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
 def test_chat_round_trip(spark):
     nasty = ["\\", "\\l", "</turn>", "### user: ", "\\### Assistant: </turn> ok", "<\\</turn>\n", "", None, "a:b", "</turn>\n### x: y</turn>\n", "é中\U0001f600" * 50]
     r = random.Random(11)
@@ -609,6 +665,21 @@ def test_stages_keep_columns_of_any_name(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, own, SF).count() >= 13
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Empty tables, null ids, repeated rows."""
+    import corpus_pipeline
+
+    r = random.Random(13)
+    a, b = words(r, 80) + " word", words(r, 80) + " word"
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, rows in {"empty": [], "odd": [(1, a), (1, a), (None, b), (None, None), (2, ""), (3, a), (4, words(r, 90, 900))]}.items():
+        docs(spark, rows).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {x["doc_id"] for x in out} == ({1, None, 4} if rows else set())
+        assert len({(x["sequence_id"], x["offset"]) for x in out}) == len(out)
+
+
 def test_native_plans(spark):
     """Operators 4 and 10 run no Python."""
     own = docs(spark, [(1, "a b"), (2, "c")])
