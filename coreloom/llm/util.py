@@ -93,6 +93,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, what: str, column: str) -> DataFrame:
+    """``written`` with the rows dealt to buckets of ``column`` where they are made: joins on
+    it move the other side alone."""
+    spark = df.sparkSession
+    bounded_batches(spark)
+    path, name = f"{shared_dir(spark)}/coreloom-{what}-{uuid.uuid4().hex}", f"coreloom_{uuid.uuid4().hex}"
+    df.write.bucketBy(shuffle_partitions(spark), column).option("path", path).option("compression", "zstd").saveAsTable(name)
+    _written.append((spark, path))
+    return spark.table(name)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by ``written`` once nothing will read it again."""
     path = getattr(df, "_coreloom_path", None)

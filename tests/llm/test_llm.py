@@ -402,34 +402,72 @@ def test_rice_round_trip(values):
 # 6
 
 
-def test_scores_brute_force(spark):
+def brute_score(own, one, two, three, train, n, v):
+    """log10 P by the three formulas; counts of tokens, pairs and triples."""
+    total, context = 0.0, one | {b"\r": train}
+    for i, w in enumerate(own):
+        p = (one[w] + 0.1) / (n + 0.1 * (v + 1))
+        b = own[i - 1] if i else b"\r"
+        p = (two[b, w] + lm_scoring.K[0] * p) / (context.get(b, 0) + lm_scoring.K[0])
+        a = None if not i else own[i - 2] if i > 1 else b"\r"
+        if a is not None and two[a, b] >= lm_scoring.CONTEXT:
+            p = (three[a, b, w] + lm_scoring.K[1] * p) / (two[a, b] + lm_scoring.K[1])
+        total += math.log10(p)
+    return total
+
+
+@pytest.mark.parametrize("shard", [5 << 20, 900])
+def test_scores_brute_force(spark, shard, monkeypatch):
+    monkeypatch.setattr(lm_scoring.shards, "__defaults__", (shard,))
     r = random.Random(6)
-    texts = [(i, (words(r, r.randrange(0, 50), 60) + " The THEÉ").strip()) for i in range(80)] + [(200, None), (201, "")]
+    texts = [(i, (words(r, r.randrange(0, 50), 25) + " The THEÉ").strip()) for i in range(80)] + [(200, None), (201, "")]
     got = {x["doc_id"]: x for x in lm_scoring.score_texts(docs(spark, texts), lm_scoring.fold() != 0).collect()}
     lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
     tokens = {i: [*(t or "").encode().translate(lower).split(), b"\n"] for i, t in texts}
     train = {i for i in tokens if zlib.crc32(str(i).encode()) % 10}
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for i in train:
+        own = [b"\r", *tokens[i]]
         one.update(tokens[i])
-        two.update(zip([b"\r", *tokens[i]], tokens[i]))
+        two.update(zip(own, own[1:]))
+        three.update(zip(own, own[1:], own[2:]))
     n, v = sum(one.values()), len(one)
-    context = one | {b"\r": len(train)}
     for i, own in tokens.items():
         p = [(one[t] + 0.1) / (n + 0.1 * (v + 1)) for t in own]
-        steps = [(two[a, b] + lm_scoring.K * q) / (context.get(a, 0) + lm_scoring.K) for a, b, q in zip([b"\r", *own], own, p)]
         x = got[i]
         assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (i not in train, len(own), sum(one[t] > 0 for t in own), n)
-        assert x["base_score"] == pytest.approx(sum(map(math.log10, p))) and x["score"] == pytest.approx(sum(map(math.log10, steps)))
+        assert x["base_score"] == pytest.approx(sum(map(math.log10, p))) and x["score"] == pytest.approx(brute_score(own, one, two, three, len(train), n, v))
 
 
-def test_model_is_a_distribution():
-    counts, n, v = np.array([5, 3, 2]), 10, 3
-    model = lm_scoring.BackoffAutomaton(counts, n, v)
-    arcs = np.array([2, 1, 0])  # 3 of the 5 uses of state 0 are to these tokens
-    seen = 10 ** model.traverse(np.zeros(3, int), np.arange(3), arcs)
-    rest = 2 / (5 + lm_scoring.K) + lm_scoring.K / (5 + lm_scoring.K) * (0.1 / (n + 0.1 * (v + 1)))
-    assert seen.sum() + rest == pytest.approx(1.0)
+@pytest.mark.parametrize("few", [0, 3, 99])
+def test_traversal_is_one_however_it_advances(few):
+    """States carried together or text by text give the same sums; probabilities add up to one."""
+    import pyarrow as pa
+    import zstandard
+
+    r = random.Random(1)
+    texts = [" ".join(r.choice("abcd") for _ in range(r.randrange(30))) for _ in range(20)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(20)), "train": [True] * 20, "text": texts})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    own = lm_scoring.ShardTokens(zstandard.compress(sink.getvalue().to_pybytes()))
+    one = np.bincount(own.token_at, minlength=len(own.tokens)).astype(np.int64)
+    one[own.start] = 20
+    pairs = np.bincount(own.pair_at, minlength=len(own.pairs))
+    triples = own.triples(pairs)
+    n, v = len(own.cur), 5
+    model = lm_scoring.BackoffAutomaton(own, one, pairs, np.bincount(triples[2], minlength=len(triples[1])), triples, n, v)
+    tokens = [[*t.split(), "."] for t in texts]
+    c1, c2, c3 = Counter(), Counter(), Counter()
+    for t in tokens:
+        own_t = [b"\r", *t]
+        c1.update(t), c2.update(zip(own_t, t)), c3.update(zip(own_t, t, t[1:]))
+    want = [brute_score(t, c1, c2, c3, 20, n, v) for t in tokens]
+    assert model.traverse(own.first, own.counts, few) == pytest.approx(want)
+    for head in (["a"], ["a", "b"], ["b", "b"]):  # all next tokens, an unknown one included
+        p = [10 ** (brute_score([*head, w], c1, c2, c3, 20, n, v) - brute_score(head, c1, c2, c3, 20, n, v)) for w in ["a", "b", "c", "d", ".", "?"]]
+        assert sum(p) == pytest.approx(1.0)
 
 
 def test_scores_edges(spark):
