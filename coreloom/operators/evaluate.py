@@ -44,10 +44,15 @@ def candidate_solutions(coreset: DataFrame, k: int, seeds=(1, 2, 3, 4, 5), itera
     return [lloyd(own, kmeanspp(own, k, s, weighted=True), iterations)[0] for s in seeds]
 
 
-def farthest(points: DataFrame, center: list[float]):
-    """The point farthest from a centre (lowest id of several): (id, v, d2)."""
+def farthest_row(points: DataFrame, center: list[float]) -> DataFrame:
+    """The point farthest from a centre (lowest id of several): id, v, d2."""
     c = F.array(*[F.lit(float(x)) for x in center])
-    return points.select("id", "v", vec.d2("v", c).alias("d2")).orderBy(F.desc("d2"), "id").limit(1).collect()[0]
+    return points.select("id", "v", vec.d2("v", c).alias("d2")).orderBy(F.desc("d2"), "id").limit(1)
+
+
+def farthest(points: DataFrame, center: list[float]):
+    """``farthest_row`` as a Row."""
+    return farthest_row(points, center).collect()[0]
 
 
 def enclosing_ball(points: DataFrame, iterations: int = 100) -> tuple[list[float], float]:

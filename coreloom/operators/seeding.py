@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coreloom.operators.sparse import dense_ids
 from coreloom.functions import rng
 from coreloom.operators.assign import nearest
 from coreloom.session import stored
@@ -55,9 +56,11 @@ def kmeanspp(points: DataFrame, k: int, seed, weighted: bool = False) -> DataFra
 
 def uniform_seeds(points: DataFrame, k: int, seed) -> DataFrame:
     """k uniform draws with replacement; repeats collapse."""
-    ranked = points.sparkSession.range(k).select(F.col("id").alias("j"))
-    best = points.select("id", "v").join(F.broadcast(ranked)).groupBy("j").agg(F.min(F.struct(rng.uniform(seed, "j", "id").alias("u"), "id", "v")).alias("x"))
-    return best.select(F.col("x.id").alias("cid"), F.col("x.v").alias("v")).distinct()
+    ranked = dense_ids(points.select(F.col("id").alias("own")), "own")  # own, id: the rank
+    n = ranked.count()
+    draws = points.sparkSession.range(k).select(F.floor(rng.uniform(seed, "id") * n).alias("rank")).distinct()
+    chosen = ranked.join(draws, ranked["id"] == draws["rank"]).select("own")
+    return points.join(chosen, points["id"] == chosen["own"]).select(points["id"].alias("cid"), "v")
 
 
 def kmeans_parallel(points: DataFrame, k: int, seed, rounds: int = 4, factor: float = 2.0) -> DataFrame:

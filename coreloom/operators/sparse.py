@@ -28,7 +28,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
 def bag_of_words(documents: DataFrame) -> DataFrame:
     """doc_id, word_id (from 1, in the order of words), cnt."""
-    counts = word_counts(documents)
+    counts = stored(word_counts(documents), "word-counts")  # read twice below
     ids = dense_ids(counts, "word", 1)
     return counts.join(ids, "word").select("doc_id", F.col("id").alias("word_id"), "cnt")
 

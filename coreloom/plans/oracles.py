@@ -149,7 +149,7 @@ S["cost_ratio"] = "SELECT p_brand AS dataset, p_size AS k, p_type AS algorithm,
 S["minmax_normalized"] = "SELECT p_partkey AS seq, round((p_retailprice - min(p_retailprice) OVER b) / nullif(max(p_retailprice) OVER b - min(p_retailprice) OVER b, 0), 6) AS norm FROM part WINDOW b AS (PARTITION BY p_brand)"
 S["group_maxima"] = "SELECT p_brand AS dataset, max(p_retailprice) AS max_distortion, max(p_size) AS max_k FROM part GROUP BY p_brand"
 S["mean_std_label"] = """WITH s AS (SELECT p_type AS algorithm, count(*) AS n, avg(p_size) AS m, stddev_samp(p_size) AS sd FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) <= 10) GROUP BY p_type)
-SELECT algorithm, printf('%.2f (%.3f)', m, sd) AS label, 'k=' || n AS k_label, printf('%02d:%02d:%02d', floor(m * 1000)::BIGINT // 3600, floor(m * 1000)::BIGINT // 60 % 60, floor(m * 1000)::BIGINT % 60) AS took FROM s"""
+SELECT algorithm, printf('%.2f (%.3f)', m, sd) AS label, 'k=' || n AS k_label, printf('%02dh %02dm %02ds', floor(m * 1000)::BIGINT // 3600, floor(m * 1000)::BIGINT // 60 % 60, floor(m * 1000)::BIGINT % 60) AS took FROM s"""
 S["dataset_labels"] = "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'Ring' WHEN contains(p_name, 'widget') THEN 'Widget' END AS label FROM part"
 S["unprocessed_runs"] = "SELECT 'run-' || o_orderkey AS name, o_custkey FROM orders WHERE o_orderstatus <> 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY 'run-' || o_orderkey) = 1"
 S["run_states"] = """WITH r AS (SELECT o_custkey % 700 AS name, row_number() OVER (PARTITION BY o_custkey % 700 ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)
@@ -175,3 +175,11 @@ S["nearest_l1"] = f"WITH {P}, {C} SELECT id, cid AS cluster, round(d, 6) AS dist
 S["partition_costs"] = f"WITH {P}, {C} SELECT cid AS cluster, round(sum({d2('v', 'c')}), 6) AS cost FROM p JOIN c ON cid = id % 5 GROUP BY cid"
 S["pairwise_distances"] = f"WITH {P} SELECT x.id AS a, y.id AS b, round({d2('x.v', 'y.v')}, 6) AS dist FROM p x, p y WHERE x.id < 20 AND y.id < 20"
 S["union_of_frames"] = "SELECT c_custkey AS id, c_acctbal AS x FROM customer UNION ALL SELECT s_suppkey, s_acctbal FROM supplier"
+
+S["dense_csv_round_trip"] = f"WITH {P} SELECT i::INT AS pos, count(*) AS n, round(sum(v[i + 1]), 6) AS total FROM p, {POS} GROUP BY i"
+S["coreset_round_trip"] = f"WITH {P} SELECT count(*) AS n, sum(1 + id % 7)::DOUBLE AS w, round(sum((1 + id % 7) * list_sum(list_transform(v, lambda x: x * x))), 6) AS mass FROM p WHERE id % 10 = 0"
+S["centers_round_trip"] = f"WITH {P}, {C} SELECT cid, i::INT AS pos, round(c[i + 1], 9) AS x FROM c, {POS}"
+S["tower_points"] = """WITH n AS (SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_nationkey) - 1 AS ln FROM nation)
+SELECT ln // 3 AS id, max(k) FILTER (ln % 3 = 0)::DOUBLE AS x0, max(k) FILTER (ln % 3 = 1)::DOUBLE AS x1, max(k) FILTER (ln % 3 = 2)::DOUBLE AS x2 FROM n GROUP BY ln // 3 HAVING count(*) = 3"""
+S["census_points"] = "SELECT n_regionkey::DOUBLE AS x0, (n_nationkey * 10)::DOUBLE AS x1 FROM nation"
+S["covertype_points"] = "SELECT n_nationkey::DOUBLE AS x0, n_regionkey::DOUBLE AS x1 FROM nation"

@@ -13,8 +13,8 @@ from coreloom.operators import aggregates, coresets, evaluate, filters, hard_ins
 from coreloom.operators.assign import nearest, nearest_by, pairwise, partition_cost, ray_assign
 from coreloom.operators.kmeans1d import kmeans_1d
 from coreloom.plans import experiments, report
-from coreloom.session import stored, table
-from coreloom.sources import readers
+from coreloom.session import shared_dir, stored, table
+from coreloom.sources import readers, sinks
 from coreloom.streaming import cf_stream
 
 Q: dict = {}
@@ -278,9 +278,7 @@ def meb_center(spark, d):
 
 @query
 def farthest_point(spark, d):
-    c = F.array(*[F.lit(0.0)] * 64)
-    zero = vectors(spark, d).select("id", F.round(vec.d2("v", F.transform("v", lambda x: F.lit(0.1))), 9).alias("d2"))
-    return zero.orderBy(F.desc("d2"), "id").limit(1)
+    return evaluate.farthest_row(vectors(spark, d), [0.1] * 64).select("id", F.round("d2", 9).alias("d2"))
 
 
 @query
@@ -415,7 +413,7 @@ def cf_merge_cost(spark, d):
 
 @query
 def stream_cf_coreset(spark, d):
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/stream'}/cf-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/cf-{uuid.uuid4().hex}"
     run = cf_stream.summarize_stream(readers.events_stream(spark, d), 64, f"{base}/state", f"{base}/log")
     state = cf_stream.finish(run, spark, f"{base}/state")
     return state.agg(F.sum("n").cast("long").alias("n"), F.round(F.sum(F.col("ls")[0]), 3).alias("ls0"), F.round(F.sum(F.col("ls")[1]), 3).alias("ls1"), F.round(F.sum("ss"), 2).alias("ss"))
@@ -502,7 +500,7 @@ def alias_resolution(spark, d):
 @query
 def drop_nan_rows(spark, d):
     p = vectors(spark, d).withColumn("v", F.when(F.col("id") % 7 == 0, F.transform("v", lambda x: x * F.lit(float("nan")))).otherwise(F.col("v")))
-    return p.where(~vec.has_nan("v")).agg(F.count("*").alias("n"), F.round(F.sum(vec.norm2("v")), 6).alias("mass"))
+    return filters.finite_rows(p).agg(F.count("*").alias("n"), F.round(F.sum(vec.norm2("v")), 6).alias("mass"))
 
 
 @query
@@ -611,3 +609,71 @@ def union_of_frames(spark, d):
     a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"))
     b = table(spark, d, "supplier").select(F.col("s_acctbal").alias("x"), F.col("s_suppkey").alias("id"))
     return a.unionByName(b)
+
+
+def _folder(spark, what: str) -> str:
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def _by_position(rows: DataFrame) -> DataFrame:
+    """pos, n, total of the coordinates."""
+    long = rows.select(F.posexplode("v").alias("pos", "x"))
+    return long.groupBy("pos").agg(F.count("*").alias("n"), F.round(F.sum("x"), 6).alias("total"))
+
+
+@query
+def dense_csv_round_trip(spark, d):
+    """The vectors written as CSV and read back."""
+    path = _folder(spark, "dense")
+    sinks.write_dense(vectors(spark, d), path)
+    return _by_position(readers.dense_csv(spark, path))
+
+
+@query
+def coreset_round_trip(spark, d):
+    """A coreset written as weighted text and read back."""
+    path = _folder(spark, "coreset")
+    sinks.write_coreset(sample(spark, d).select("w", "v"), path)
+    return readers.coreset(spark, path).agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.round(F.sum(F.col("w") * vec.norm2("v")), 6).alias("mass"))
+
+
+@query
+def centers_round_trip(spark, d):
+    """Centres written with weight 1 and read back without it."""
+    path = _folder(spark, "centers")
+    sinks.write_centers(fixed(vectors(spark, d), 0, 5), path)
+    return readers.weighted_centers(spark, path).select("cid", F.posexplode("v").alias("pos", "x")).select("cid", "pos", F.round("x", 9).alias("x"))
+
+
+def _text(spark, what: str, rows: DataFrame) -> str:
+    """One file of the lines (at, value): the tables here are small by definition."""
+    path = _folder(spark, what)
+    rows.coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return path
+
+
+@query
+def tower_points(spark, d):
+    """One number a line, three lines a point, with a blank line after each nation of region 0."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("at"), F.explode(F.when(F.col("n_regionkey") == 0, F.array(F.col("n_nationkey").cast("string"), F.lit(""))).otherwise(F.array(F.col("n_nationkey").cast("string")))).alias("value"))
+    points = readers.tower(spark, _text(spark, "tower", n.withColumn("at", F.col("at") * 2 + (F.col("value") == "").cast("int"))))
+    return points.select("id", *[F.col("v")[i].alias(f"x{i}") for i in range(3)])
+
+
+@query
+def census_points(spark, d):
+    """A header, the first attribute dropped, a line of another width skipped."""
+    n = table(spark, d, "nation")
+    body = n.select(F.col("n_nationkey").alias("at"), F.concat_ws(",", "n_nationkey", "n_regionkey", F.col("n_nationkey") * 10).alias("value"))
+    extra = spark.createDataFrame([(-1, "caseid,a,b"), (1000, "7,7")], "at int, value string")
+    points = readers.census(spark, _text(spark, "census", body.unionAll(extra)), 2)
+    return points.select(*[F.col("v")[i].alias(f"x{i}") for i in range(2)])
+
+
+@query
+def covertype_points(spark, d):
+    """The last attribute dropped."""
+    n = table(spark, d, "nation")
+    body = n.select(F.col("n_nationkey").alias("at"), F.concat_ws(",", "n_nationkey", "n_regionkey", F.lit(5)).alias("value"))
+    points = readers.covertype(spark, _text(spark, "covertype", body), 2)
+    return points.select(*[F.col("v")[i].alias(f"x{i}") for i in range(2)])

@@ -35,7 +35,8 @@ def mean_std(mean, std, digits: int = 2) -> Column:
 
 def duration(seconds: Column) -> Column:
     s = seconds.cast("long")
-    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    """``00h 00m 00s``"""
+    return F.format_string("%02dh %02dm %02ds", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
 
 
 def k_label(k: Column) -> Column:

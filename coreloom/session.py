@@ -24,13 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); a local session that names
+    none gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return found.rstrip("/")
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Cut lineage: write once to the shared folder (spark.checkpoint.dir) and read back.
 
     Loops use this, so a lost executor costs a task and not the loop."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -15,9 +15,9 @@ from coreloom.operators import hard_instance
 NUMBER = r"^\s*[-+]?(\d+(\.\d*)?|\.\d+)([eE][-+]?\d+)?\s*$"
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """ln (from 0, without gaps), value: the numbered lines of a text file."""
-    rows = spark.read.text(path).select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at"), "value")
+def lines(spark: SparkSession, path: str, keep: str = "true") -> DataFrame:
+    """ln (from 0, without gaps), value: the numbered lines of a text file, of those that ``keep``."""
+    rows = spark.read.text(path).where(keep).select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at"), "value")
     sizes = rows.groupBy("p").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = sizes.select("p", "first", F.coalesce(F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     out = rows.join(F.broadcast(before), "p").select((F.col("at") - F.col("first") + F.col("before")).alias("ln"), "value")
@@ -63,8 +63,8 @@ def covertype(spark: SparkSession, path: str, width: int = 54, expected: int | N
 
 
 def tower(spark: SparkSession, path: str, dims: int = 3) -> DataFrame:
-    """One number a line, ``dims`` lines a point."""
-    rows = lines(spark, path).where("trim(value) <> ''")
+    """One number a line, ``dims`` lines a point; blank lines don't count."""
+    rows = lines(spark, path, "trim(value) <> ''")
     points = rows.groupBy(F.floor(F.col("ln") / dims).alias("id")).agg(F.sort_array(F.collect_list(F.struct("ln", F.trim("value").cast("double").alias("x")))).alias("s"))
     return points.where(F.size("s") == dims).select("id", F.col("s.x").alias("v"))
 

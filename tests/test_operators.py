@@ -234,6 +234,7 @@ def test_readers(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.covertype(spark, str(tmp_path / "d.csv"), 2, 3)
     assert [r["v"] for r in readers.tower(spark, put("Tower.txt", "1\n2\n3\n4\n5\n6\n")).orderBy("id").collect()] == [[1, 2, 3], [4, 5, 6]]
+    assert [r["v"] for r in readers.tower(spark, put("Tower2.txt", "1\n2\n3\n\n4\n5\n6\n7\n8\n9\n")).orderBy("id").collect()] == [[1, 2, 3], [4, 5, 6], [7, 8, 9]]
     cells, shape = readers.bag_of_words(spark, put("docword.x.txt", "3\n4\n3\n1 1 2\n1 4 1\n3 2 5\n"))
     assert shape == (3, 4, 3) and cells.count() == 3
     assert sorted(r["row"] for r in sparse.cells_of(cells, compact_rows=True).select("row").distinct().collect()) == [0, 1]
@@ -275,3 +276,12 @@ def test_import_without_optional_part():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_uniform_seeds(spark):
+    points = spark.range(500).selectExpr("id * 3 AS id", "array(cast(id AS double)) AS v")
+    from coreloom.operators import seeding
+
+    got = [r["cid"] for r in seeding.uniform_seeds(points, 40, 5).collect()]
+    assert 30 <= len(got) <= 40 and len(set(got)) == len(got) and max(got) > 900 and min(got) < 600
+    assert sorted(got) == sorted(r["cid"] for r in seeding.uniform_seeds(points.repartition(5), 40, 5).collect())
