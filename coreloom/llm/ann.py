@@ -15,9 +15,9 @@
 Distances are Euclidean, in double precision, from the original components; ties go to the
 smaller vec_id. Brute force runs in blocks of the stated queries against all rows.
 
-Defined cases: vectors that are null or zero, hold a null or non-finite component, or have
-not the most common length take no part; rows without vec_id neither; rows with the query's
-id are never its neighbours; repeated rows (one id and vector) count once, and a query id
+Defined cases: vectors that are null or zero or hold a null or non-finite component take no
+part; rows without vec_id neither; vectors of another length than the query's have no distance
+to it, so each length is searched by itself; rows with the query's id are never its neighbours; repeated rows (one id and vector) count once, and a query id
 with several vectors asks with the smallest; with fewer than k candidates all are returned; an empty table
 gives an empty one; other columns are ignored."""
 
@@ -201,14 +201,22 @@ def usable(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (common[0]["n"] if common else 0))
+    return rows
 
 
 def search(vectors: DataFrame, is_query, k: int = 10, recall: float = 0.95, sample_rows: int = 10_000, probe_queries: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score. ``is_query`` is a condition on vec_id."""
-    spark = vectors.sparkSession
     rows = usable(vectors)
+    lengths = [r["n"] for r in rows.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]  # one, but for mixed tables
+    found = None
+    for n in lengths or [0]:
+        own = _search(rows.where(F.size("v") == n), is_query, k, recall, sample_rows, probe_queries)
+        found = own if found is None else found.unionAll(own)
+    return found
+
+
+def _search(rows: DataFrame, is_query, k: int, recall: float, sample_rows: int, probe_queries: int) -> DataFrame:
+    spark = rows.sparkSession
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow().combine_chunks()
     if not chosen.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from coreloom.llm.util import HashFilter, hashes_in, read_table, shuffle_partitions, written
 
+#: Fingerprints that one owner compares.
+OWNER_ROWS = 1_000_000
 _GAPS = b" \t\n\x0b\x0c\r"
 
 
@@ -137,7 +139,7 @@ def exact_groups(docs: DataFrame, owners: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), text.alias("text"))
-    owners = max(2, owners or shuffle_partitions(spark))
+    owners = max(2, owners or max(shuffle_partitions(spark), docs.count() // OWNER_ROWS))
     scan = written(rows.mapInArrow(_scan(owners), _SCAN), "exact")
     own = scan.where("sha is not null").select("part", "owner", "rank", "doc_id", "n_chars", "fp", "sha")
     sent = scan.where("sha is null").select("part", "owner", "n", "k", "unary", "rest")

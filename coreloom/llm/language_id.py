@@ -35,7 +35,10 @@ from coreloom.llm.util import bounded_batches, read_table
 
 SLOTS = 1 << 20
 PROBES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77))
+#: More labels than this are an error: the filters (8 MB for each 64 languages) wouldn't fit.
 MAX_LANGUAGES = 4096
+#: Parts of a language that are ranked apart; ids of the sample that are broadcast at most.
+SALTS, BROADCAST_IDS = 64, 500_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -115,9 +118,14 @@ def learn(labelled: DataFrame, sample_docs: int = 400, min_docs: int = 2, share:
     languages = sorted(sizes)
     if not languages:
         return Filters([], "und", {})
-    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("rank", first).where(F.col("rank") <= sample_docs).select("doc_id", "lang").distinct()
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
+    # first in parts of a language, so that no task gets more of one than SALTS samples
+    chosen = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for parts in (["lang", "salt"], ["lang"]):
+        rank = F.row_number().over(W.partitionBy(*parts).orderBy("h", "doc_id"))
+        chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= sample_docs)
+    chosen = chosen.select("doc_id", "lang").distinct()
+    chosen = F.broadcast(chosen) if len(languages) * sample_docs <= BROADCAST_IDS else chosen
+    sample = known.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "text")
     found = sample.mapInArrow(_sample_grams, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
     used = F.greatest(F.lit(1), F.least(F.lit(sample_docs), F.element_at(F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, v)]), F.col("lang"))))
     found = found.withColumn("rate", F.col("docs") / used)
@@ -125,7 +133,7 @@ def learn(labelled: DataFrame, sample_docs: int = 400, min_docs: int = 2, share:
     table = found.select("lang", "gram").toArrow()  # bounded by the sample
     lang, gram = np.array(table["lang"].to_pylist(), object), table["gram"].to_numpy().astype(np.uint32)
     pairs = {i: gram[lang == x] for i, x in enumerate(languages)}
-    return Filters(languages, max(languages, key=lambda x: (sizes[x], x)), pairs)
+    return Filters(languages, max(languages, key=lambda x: sizes[x]), pairs)
 
 
 def _predict(shared):

@@ -494,6 +494,26 @@ def test_language_held_out(spark):
     assert rows.where("score < 0 or score > 1").count() == 0
 
 
+def test_filter_counts_are_those_of_sets():
+    """Corrected counts against exact sets of n-grams, texts of three made-up languages."""
+    r = random.Random(7)
+    letters = ["abcdefgh", "efghijklm", "lmnopqrs"]
+    text = lambda k, n: " ".join("".join(r.choice(letters[k]) for _ in range(r.randrange(2, 8))) for _ in range(n))
+    known = {k: np.unique(language_id.grams([text(k, 400).encode()])[0]) for k in range(3)}
+    filters = language_id.Filters(["x", "y", "z"], "x", known)
+    texts = [text(k % 3, r.randrange(0, 60)).encode() for k in range(40)] + [b""]
+    g, ends = language_id.grams(texts)
+    got = filters.counts(g, ends)
+    for i, own in enumerate(np.split(g, ends[:-1])):
+        exact = [int(np.isin(own, known[k]).sum()) for k in range(3)]
+        assert got[i] == pytest.approx(exact, abs=1 + 0.01 * len(own))
+
+
+def test_language_of_most_documents_first_by_name(spark):
+    rows = [(i, "abc def", "bb" if i % 2 else "aa", "s", 0) for i in range(8)]
+    assert language_id.learn(spark.createDataFrame(rows, DOCS)).most == "aa"
+
+
 def test_language_edges(spark):
     rows = docs(spark, [*EDGE, (20, "123 ... !!!"), (21, "ж")])
     got = {r["doc_id"]: r for r in language_id.predict(rows.withColumn("score", F.lit("mine")), language_id.learn(rows)).collect()}
@@ -533,6 +553,30 @@ def test_neighbours_recall_and_order(spark):
     assert hit / total >= 0.9 and {r["query_id"] for r in got} == set(range(0, 1500, 50))
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_recall_of_queries_that_were_not_calibrated_on(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = {}
+    for x in ann.search(rows, F.col("vec_id") % 7 == 3, probe_queries=40).collect():
+        got.setdefault(x["query_id"], set()).add(x["vec_id"])
+    every = ann.usable(rows).collect()
+    ids, v = np.array([x["vec_id"] for x in every]), np.array([x["v"] for x in every])
+    queries = ann.usable(rows).where("vec_id % 7 = 3")
+    probes = {x["vec_id"] for x in queries.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(40).collect()}
+    hit, total = 0, 0
+    for q in set(got) - probes:
+        d = np.sqrt(((v - v[ids == q][0]) ** 2).sum(1))
+        best = [ids[i] for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        hit, total = hit + len(got[q] & set(best)), total + 10
+    assert total > 2000 and hit / total >= 0.9
+
+
+def test_vectors_of_two_lengths(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(8)] + [(100 + i, [float(i), 1.0, 2.0]) for i in range(5)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 100), k=3).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (100, 1, 101), (100, 2, 102), (100, 3, 103)]
+
+
 def test_few_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0])] * 15 + [(1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = ann.search(frame, F.col("vec_id") == 0).orderBy("rank").collect()
