@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coreloom.functions import rng, vec
 from coreloom.operators import aggregates, hard_instance
-from coreloom.operators.assign import nearest
+from coreloom.operators.assign import matrix, nearest
 from coreloom.session import small
 
 
@@ -50,9 +54,28 @@ def farthest_row(points: DataFrame, center: list[float]) -> DataFrame:
     return points.select("id", "v", vec.d2("v", c).alias("d2")).orderBy(F.desc("d2"), "id").limit(1)
 
 
+def _farthest(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, d = b.column(0).to_numpy(), ((matrix(b.column(1)) - shared.value) ** 2).sum(1)
+            i = np.lexsort((ids, -d))[0]
+            if best is None or (-d[i], ids[i]) < best[:2]:
+                best = -d[i], ids[i], b.column(1).slice(i, 1)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([best[1]]), best[2], pa.array([-best[0]])], names=["id", "v", "d2"])
+
+    return run
+
+
 def farthest(points: DataFrame, center: list[float]):
-    """``farthest_row`` as a Row."""
-    return farthest_row(points, center).collect()[0]
+    """The point of ``farthest_row`` as a Row. The centre is broadcast, so that a loop over
+    centres compiles its plan once, and each partition answers with one point."""
+    shared = points.sparkSession.sparkContext.broadcast(np.array(center, np.float64))
+    rows = points.select("id", F.col("v").cast("array<double>").alias("v")).mapInArrow(_farthest(shared), "id long, v array<double>, d2 double")
+    return rows.orderBy(F.desc("d2"), "id").limit(1).collect()[0]
 
 
 def enclosing_ball(points: DataFrame, iterations: int = 100) -> tuple[list[float], float]:

@@ -84,7 +84,10 @@ def best_of(points: DataFrame, k: int, seeds, iterations: int = 300, tol: float
     return best
 
 
-def cost_curve(points: DataFrame, ks, seed: int = 1, iterations: int = 20) -> DataFrame:
+CURVE_KS = (10, 20, 30, 40, 50, 70, 100, 200)
+
+
+def cost_curve(points: DataFrame, ks=CURVE_KS, seed: int = 1, iterations: int = 300) -> DataFrame:
     """k, cost: full-data k-means with k-means|| seeds, for a list of k."""
     from coreloom.operators.seeding import kmeans_parallel
 

@@ -235,13 +235,13 @@ def weighted_lloyd_one_step(spark, d):
 @query
 def lloyd_converged(spark, d):
     p = vectors(spark, d)
-    _, costs = lloyd.lloyd(p, seeding.kmeanspp(p, 10, 1), iterations=50)
+    _, costs = lloyd.lloyd(p, seeding.kmeanspp(p, 10, 1))
     return spark.createDataFrame([(i, float(c)) for i, c in enumerate(costs)], "iteration int, cost double")
 
 
 @query
 def kmeans_cost_curve(spark, d):
-    return lloyd.cost_curve(vectors(spark, d), (5, 10, 20), iterations=10)
+    return lloyd.cost_curve(vectors(spark, d))
 
 
 @query
@@ -272,7 +272,7 @@ def convex_candidates(spark, d):
 
 @query
 def meb_center(spark, d):
-    c, r = evaluate.enclosing_ball(stored(vectors(spark, d), "ball"), 10)
+    c, r = evaluate.enclosing_ball(stored(vectors(spark, d), "ball"))
     return spark.createDataFrame([(i, x, r) for i, x in enumerate(c)], "pos int, x double, radius double")
 
 
@@ -480,13 +480,13 @@ def run_states(spark, d):
     o = table(spark, d, "orders")
     runs = o.select((F.col("o_custkey") % 700).alias("name"), F.col("o_orderdate").alias("queued_at"), F.col("o_orderkey").alias("run_id"))
     key = F.col("o_custkey").alias("name")
-    return experiments.states(runs, o.where("o_orderstatus = 'P' and o_custkey < 700").select(key), o.where("o_totalprice > 450000 and o_custkey < 700").select(key)).groupBy("status").agg(F.count("*").alias("n"))
+    return experiments.states(runs, o.where("o_orderstatus = 'P'").select(key), o.where("o_totalprice > 450000").select(key)).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query
 def experiment_grid(spark, d):
     datasets = table(spark, d, "region").select(F.col("r_name").alias("dataset"))
-    algorithms = table(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_name").alias("algorithm"))
+    algorithms = table(spark, d, "nation").select(F.col("n_name").alias("algorithm"))
     ks = spark.range(1, 6).select((F.col("id") * 10).cast("int").alias("k"))
     return experiments.grid(datasets, algorithms, ks, 3, 200)
 
@@ -505,14 +505,7 @@ def drop_nan_rows(spark, d):
 
 @query
 def local_search_swap(spark, d):
-    p = vectors(spark, d)
-    out = local_search.swap_costs(p, fixed(p, 0, 5), p.where("id between 5 and 24").select("id", "v"))
-    return out.select("closed", "opened", F.round("cost", 6).alias("cost"))
-
-
-@query
-def local_search_swap_whole(spark, d):
-    """Every swap of one of five centres for any other point; no SQL."""
+    """Every swap of one of five centres for any other point."""
     p = vectors(spark, d)
     out = local_search.swap_costs(p, fixed(p, 0, 5), p.where("not id between 0 and 4"), whole=True)
     return out.select("closed", "opened", F.round("cost", 6).alias("cost"))
@@ -521,7 +514,7 @@ def local_search_swap_whole(spark, d):
 @query
 def local_search_run(spark, d):
     p = vectors(spark, d)
-    found = local_search.local_search(p, fixed(p, 0, 5), samples=5, rounds=3)
+    found = local_search.local_search(p, fixed(p, 0, 5))
     return evaluate.cost(p, found)
 
 
@@ -571,12 +564,6 @@ def _files(parts):
 
 @query
 def paired_files(spark, d):
-    return filters.pair_reduced_files(_files(table(spark, d, "part").where("p_partkey < 200")))
-
-
-@query
-def paired_files_whole(spark, d):
-    """The pairs of all parts; no SQL."""
     return filters.pair_reduced_files(_files(table(spark, d, "part")))
 
 
@@ -595,12 +582,7 @@ def partition_costs(spark, d):
 
 @query
 def pairwise_distances(spark, d):
-    return pairwise(vectors(spark, d).where("id < 20")).select("a", "b", F.round("dist", 6).alias("dist"))
-
-
-@query
-def pairwise_distances_whole(spark, d):
-    """The distances of all pairs of vectors; no SQL."""
+    """The distances of all pairs of vectors."""
     return pairwise(vectors(spark, d), whole=True).select("a", "b", F.round("dist", 6).alias("dist"))
 
 

@@ -1,4 +1,4 @@
-"""Queries over whole tables that have no SQL, against brute force."""
+"""Queries over whole tables, against brute force."""
 
 import random
 
@@ -13,7 +13,7 @@ def test_paired_files_whole(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
     paths = {f"f{k // 4}-svd-d5.csv" if k % 2 == 0 else f"f{k // 3}.csv" for k in keys}
     want = sorted((x, x.replace("-svd-d5", "")) for x in paths if "-svd" in x and x.replace("-svd-d5", "") in paths)
-    got = sorted(map(tuple, registry.QUERIES["paired_files_whole"](spark, str(tmp_path)).select("reduced", "original").collect()))
+    got = sorted(map(tuple, registry.QUERIES["paired_files"](spark, str(tmp_path)).select("reduced", "original").collect()))
     assert got == want and max(int(x[0][1:].split("-")[0]) for x in got) > 200
 
 
@@ -29,13 +29,13 @@ def vectors(spark, tmp_path_factory):
 
 def test_pairwise_distances_whole(spark, vectors):
     path, v = vectors
-    got = {(r["a"], r["b"]): r["dist"] for r in registry.QUERIES["pairwise_distances_whole"](spark, path).collect()}
+    got = {(r["a"], r["b"]): r["dist"] for r in registry.QUERIES["pairwise_distances"](spark, path).collect()}
     assert len(got) == 60 * 60 and all(abs(x - ((v[a] - v[b]) ** 2).sum()) < 2e-6 for (a, b), x in got.items())
 
 
 def test_local_search_swap_whole(spark, vectors):
     path, v = vectors
-    got = {(r["closed"], r["opened"]): r["cost"] for r in registry.QUERIES["local_search_swap_whole"](spark, path).collect()}
+    got = {(r["closed"], r["opened"]): r["cost"] for r in registry.QUERIES["local_search_swap"](spark, path).collect()}
     assert set(got) == {(c, q) for c in range(5) for q in range(5, 60)}
     for (c, q), cost in got.items():
         centers = [v[i] for i in range(5) if i != c] + [v[q]]
