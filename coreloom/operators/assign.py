@@ -38,10 +38,14 @@ def squared(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = near.argmax(1)
         exact = ((some - c[first]) ** 2).sum(1)
         several = np.flatnonzero(near.sum(1) > 1)
-        for i in several:
-            at = np.flatnonzero(near[i])
-            d = ((c[at] - some[i]) ** 2).sum(1)
-            first[i], exact[i] = at[d.argmin()], d.min()
+        if len(several):
+            row, at = np.nonzero(near[several])
+            d = ((c[at] - some[several[row]]) ** 2).sum(1)
+            begin = np.flatnonzero(np.diff(row, prepend=-1))
+            low = np.minimum.reduceat(d, begin)
+            hit = np.flatnonzero(d == low[row])  # in the order of rows, then centres
+            hit = hit[np.flatnonzero(np.diff(row[hit], prepend=-1))]
+            first[several], exact[several] = at[hit], low
         place[a : a + 4096], best[a : a + 4096] = first, exact
     return place, best
 

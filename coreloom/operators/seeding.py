@@ -8,14 +8,17 @@ with their running distance are written every ``CUT`` rounds, which cuts the lin
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coreloom.operators.sparse import dense_ids
 from coreloom.functions import rng
-from coreloom.operators.assign import nearest
+from coreloom.operators.assign import matrix, nearest, squared
+from coreloom.operators.lloyd import step
 from coreloom.session import stored
 
 CUT = 8
@@ -63,10 +66,29 @@ def uniform_seeds(points: DataFrame, k: int, seed) -> DataFrame:
     return points.join(chosen, points["id"] == chosen["own"]).select(points["id"].alias("cid"), "v")
 
 
+def _arrays(found: dict) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.array(sorted(found), np.int64)
+    return ids, np.array([found[i]["v"] for i in ids], np.float64)
+
+
+def _drawn(shared):
+    """Rows whose draw u lies below their share of the cost; only these leave the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, rate = shared.value
+        for b in batches:
+            if b.num_rows:
+                d = squared(matrix(b.column(1)), c)[1]
+                taken = b.column(3).to_numpy() < rate * b.column(2).to_numpy() * d
+                yield b.select([0, 1]).filter(pa.array(taken))
+
+    return run
+
+
 def kmeans_parallel(points: DataFrame, k: int, seed, rounds: int = 4, factor: float = 2.0) -> DataFrame:
     """k-means||: a few rounds of oversampling, then weighted k-means++ on the candidates.
 
-    An approximation of k-means++ with ``rounds`` passes instead of k. The candidates,
+    An approximation of k-means++ with two passes a round instead of k in all. The candidates,
     about rounds * factor * k, are the only rows that reach the driver."""
     spark = points.sparkSession
     own = _weighted(points)
@@ -75,18 +97,19 @@ def kmeans_parallel(points: DataFrame, k: int, seed, rounds: int = 4, factor: fl
         return spark.createDataFrame([], "cid long, v array<double>, round int")
     found = {int(r["id"]): r for r in first}
     for r in range(rounds):
-        near = nearest(own, _as_centers(spark, list(found.values())))
-        cost = near.agg(F.sum(F.col("w") * F.col("d2"))).first()[0]
+        ids, c = _arrays(found)
+        _, cost, _ = step(own, ids, c)
         if not cost:
             break
-        p = factor * k * F.col("w") * F.col("d2") / cost
-        for row in near.where(rng.uniform(seed, F.lit(r + 1), "id") < p).select("id", "v").collect():
+        rows = own.withColumn("u", rng.uniform(seed, F.lit(r + 1), "id"))
+        shared = spark.sparkContext.broadcast((c, factor * k / cost))
+        for row in rows.select("id", "v", "w", "u").mapInArrow(_drawn(shared), "id long, v array<double>").collect():
             found[int(row["id"])] = row
-    centers = _as_centers(spark, list(found.values()))
-    mass = nearest(own, centers).groupBy("cluster").agg(F.sum("w").alias("w"))
-    rows = mass.join(centers, mass["cluster"] == centers["cid"]).select("cid", "v", "w").orderBy("cid").collect()
-    picked = local_kmeanspp(np.array([r["v"] for r in rows]), np.array([r["w"] for r in rows]), k, seed)
-    return spark.createDataFrame([(int(rows[i]["cid"]), list(rows[i]["v"]), n) for n, i in enumerate(picked)], "cid long, v array<double>, round int")
+    ids, c = _arrays(found)
+    _, _, mass = step(own, ids, c)
+    on = np.flatnonzero(mass > 0)
+    picked = on[local_kmeanspp(c[on], mass[on], k, seed)]
+    return spark.createDataFrame([(int(ids[i]), c[i].tolist(), n) for n, i in enumerate(picked)], "cid long, v array<double>, round int")
 
 
 def local_kmeanspp(x: np.ndarray, w: np.ndarray, k: int, seed) -> list[int]:
