@@ -24,6 +24,32 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def _least(x: np.ndarray, c: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lowest position of the nearest centre, its squared distance), each row among the
+    centres ``asked`` of it, at least one."""
+    row, at = np.nonzero(asked)
+    d = ((c[at] - x[row]) ** 2).sum(1)
+    low = np.minimum.reduceat(d, np.flatnonzero(np.diff(row, prepend=-1)))
+    hit = np.flatnonzero(d == low[row])  # in the order of rows, then centres
+    return at[hit[np.flatnonzero(np.diff(row[hit], prepend=-1))]], low
+
+
+def squared_pruned(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same as ``squared``. Points and centres are projected on one direction; a centre
+    whose gap there exceeds the distance to the centre of the smallest gap is never measured."""
+    place, best = np.zeros(len(x), np.int64), np.zeros(len(x))
+    line = np.random.default_rng(0).normal(size=c.shape[1])
+    line /= np.sqrt((line * line).sum())
+    own = c @ line
+    for a in range(0, len(x), 4096):
+        some = x[a : a + 4096]
+        gap = np.abs((some @ line)[:, None] - own)
+        bound = np.sqrt(((some - c[gap.argmin(1)]) ** 2).sum(1))
+        slack = 1e-9 * (bound + np.abs(own).max(initial=0.0) + np.abs(some @ line))  # rounding of the projections
+        place[a : a + 4096], best[a : a + 4096] = _least(some, c, gap <= (bound + slack)[:, None])
+    return place, best
+
+
 def squared(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position of the nearest centre, its squared distance by differences). Candidates
     come from a matrix product; those within rounding of the best are measured exactly."""
@@ -39,13 +65,7 @@ def squared(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         exact = ((some - c[first]) ** 2).sum(1)
         several = np.flatnonzero(near.sum(1) > 1)
         if len(several):
-            row, at = np.nonzero(near[several])
-            d = ((c[at] - some[several[row]]) ** 2).sum(1)
-            begin = np.flatnonzero(np.diff(row, prepend=-1))
-            low = np.minimum.reduceat(d, begin)
-            hit = np.flatnonzero(d == low[row])  # in the order of rows, then centres
-            hit = hit[np.flatnonzero(np.diff(row[hit], prepend=-1))]
-            first[several], exact[several] = at[hit], low
+            first[several], exact[several] = _least(some[several], c, near[several])
         place[a : a + 4096], best[a : a + 4096] = first, exact
     return place, best
 
@@ -65,14 +85,14 @@ def fetch_centers(centers: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]
         last = int(ids[-1])
 
 
-def _map(shared, merge: bool):
+def _map(shared, merge: bool, measure=squared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, c = shared.value
         for b in batches:
             names = b.schema.names
             if not b.num_rows:
                 continue
-            place, d = squared(matrix(b.column(names.index("v"))), c)
+            place, d = measure(matrix(b.column(names.index("v"))), c)
             cluster = ids[place]
             if merge:
                 old, was = b.column(names.index("cluster")).to_numpy(), b.column(names.index("d2")).to_numpy()
@@ -84,14 +104,15 @@ def _map(shared, merge: bool):
     return run
 
 
-def nearest(points: DataFrame, centers: DataFrame) -> DataFrame:
-    """points (id, v, ...) -> also cluster, d2 (squared L2). centers: cid, v."""
+def nearest(points: DataFrame, centers: DataFrame, pruned: bool = False) -> DataFrame:
+    """points (id, v, ...) -> also cluster, d2 (squared L2). centers: cid, v. pruned: centres
+    are ruled out by a projection instead of a matrix product; the result is the same."""
     spark = points.sparkSession
     own = [f for f in points.schema if f.name not in ("cluster", "d2")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", cluster long, d2 double"
     out, merge = points.select(*[f.name for f in own]), False
     for block in fetch_centers(centers):
-        out = out.mapInArrow(_map(spark.sparkContext.broadcast(block), merge), schema)
+        out = out.mapInArrow(_map(spark.sparkContext.broadcast(block), merge, squared_pruned if pruned else squared), schema)
         merge = True
     return out if merge else out.selectExpr("*", "cast(null as long) cluster", "cast(null as double) d2").limit(0)
 

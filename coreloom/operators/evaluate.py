@@ -45,7 +45,17 @@ def candidate_solutions(coreset: DataFrame, k: int, seeds=(1, 2, 3, 4, 5), itera
     from coreloom.operators.seeding import kmeanspp
 
     own = coreset_points(coreset.where("w > 0"))
-    return [lloyd(own, kmeanspp(own, k, s, weighted=True), iterations)[0] for s in seeds]
+    found = [lloyd(own, kmeanspp(own, k, s, weighted=True), iterations)[0] for s in seeds]
+    for centers in found:
+        require_finite(centers)
+    return found
+
+
+def require_finite(centers: DataFrame) -> None:
+    """Raises if a coordinate of a centre is NaN or infinite."""
+    bad = centers.where(F.exists("v", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))).limit(1).count()
+    if bad:
+        raise ValueError("a centre has a coordinate that is not finite")
 
 
 def farthest_row(points: DataFrame, center: list[float]) -> DataFrame:

@@ -149,7 +149,7 @@ S["cost_ratio"] = "SELECT p_brand AS dataset, p_size AS k, p_type AS algorithm,
 S["minmax_normalized"] = "SELECT p_partkey AS seq, round((p_retailprice - min(p_retailprice) OVER b) / nullif(max(p_retailprice) OVER b - min(p_retailprice) OVER b, 0), 6) AS norm FROM part WINDOW b AS (PARTITION BY p_brand)"
 S["group_maxima"] = "SELECT p_brand AS dataset, max(p_retailprice) AS max_distortion, max(p_size) AS max_k FROM part GROUP BY p_brand"
 S["mean_std_label"] = """WITH s AS (SELECT p_type AS algorithm, count(*) AS n, avg(p_size) AS m, stddev_samp(p_size) AS sd FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) <= 10) GROUP BY p_type)
-SELECT algorithm, printf('%.2f (%.3f)', m, sd) AS label, 'k=' || n AS k_label, printf('%02dh %02dm %02ds', floor(m * 1000)::BIGINT // 3600, floor(m * 1000)::BIGINT // 60 % 60, floor(m * 1000)::BIGINT % 60) AS took FROM s"""
+SELECT algorithm, printf('%.2f', m) || ' (' || coalesce(printf('%.3f', sd), 'nan') || ')' AS label, 'k=' || n AS k_label, printf('%02dh %02dm %02ds', floor(m * 1000)::BIGINT // 3600, floor(m * 1000)::BIGINT // 60 % 60, floor(m * 1000)::BIGINT % 60) AS took FROM s"""
 S["dataset_labels"] = "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'Ring' WHEN contains(p_name, 'widget') THEN 'Widget' END AS label FROM part"
 S["unprocessed_runs"] = "SELECT 'run-' || o_orderkey AS name, o_custkey FROM orders WHERE o_orderstatus <> 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY 'run-' || o_orderkey) = 1"
 S["run_states"] = """WITH r AS (SELECT o_custkey % 700 AS name, row_number() OVER (PARTITION BY o_custkey % 700 ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)
@@ -183,3 +183,16 @@ S["tower_points"] = """WITH n AS (SELECT n_nationkey AS k, row_number() OVER (OR
 SELECT ln // 3 AS id, max(k) FILTER (ln % 3 = 0)::DOUBLE AS x0, max(k) FILTER (ln % 3 = 1)::DOUBLE AS x1, max(k) FILTER (ln % 3 = 2)::DOUBLE AS x2 FROM n GROUP BY ln // 3 HAVING count(*) = 3"""
 S["census_points"] = "SELECT n_regionkey::DOUBLE AS x0, (n_nationkey * 10)::DOUBLE AS x1 FROM nation"
 S["covertype_points"] = "SELECT n_nationkey::DOUBLE AS x0, n_regionkey::DOUBLE AS x1 FROM nation"
+
+_F = "f AS (SELECT p_brand AS dataset, p_size AS k, p_partkey AS seq, p_retailprice AS x, CASE WHEN p_partkey % 3 = 0 THEN 500 ELSE 200 END AS m FROM part)"
+S["assign_pruned"] = f"{PCA} SELECT id, cluster, round(d2, 6) AS d2 FROM a"
+S["squared_distances"] = f"""WITH {P} SELECT p.id, round(pow(list_sum({_Z.format('p.v', 'c.v', 'abs(z[1] - z[2])')}), 2), 4) AS l1, round(pow(list_sum({_Z.format('p.v', 'c.v', 'pow(abs(z[1] - z[2]), 3)')}), 2.0::DOUBLE / 3), 5) AS l3 FROM p, p c WHERE c.id = 0"""
+S["filtered_facts"] = f"""WITH {_F} SELECT seq, dataset, k FROM f WHERE m = 200 AND dataset NOT IN ('Brand#11', 'Brand#25')
+AND NOT (contains(dataset, '#3') AND k < 20) AND NOT (contains(dataset, '#4') AND k < 30)"""
+S["results_pivot_max"] = f"WITH {_F} SELECT dataset, k, round(max(x) FILTER (m = 200), 4) AS m200, round(max(x) FILTER (m = 500), 4) AS m500 FROM f WHERE k <= 10 GROUP BY dataset, k"
+S["results_pivot_join"] = f"""WITH {_F}, c AS (SELECT dataset, m, printf('%02d:%d', k, count(*)) AS x FROM f GROUP BY dataset, m, k)
+SELECT dataset, coalesce(string_agg(x, ', ' ORDER BY x) FILTER (m = 200), '') AS m200, coalesce(string_agg(x, ', ' ORDER BY x) FILTER (m = 500), '') AS m500 FROM c GROUP BY dataset"""
+S["latex_lines"] = r"""WITH s AS (SELECT p_brand AS b, p_type AS t, avg(p_size) AS m, stddev_samp(p_size) AS sd FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) <= 10) GROUP BY ALL)
+SELECT replace(b, '#', '\#') || ' & ' || t || ' & ' || printf('%.2f', m) || ' (' || coalesce(printf('%.3f', sd), 'nan') || ')' || ' \\' AS line FROM s"""
+S["instance_names"] = "SELECT p_partkey, p_size::INT AS k, (p_partkey % 7)::INT AS alpha, 1.25::DOUBLE AS beta FROM part"
+S["stream_text_summary"] = "SELECT count(*) AS n, sum(o_custkey)::DOUBLE AS ls0, sum(month(o_orderdate))::DOUBLE AS ls1 FROM orders"

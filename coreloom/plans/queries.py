@@ -659,3 +659,75 @@ def covertype_points(spark, d):
     body = n.select(F.col("n_nationkey").alias("at"), F.concat_ws(",", "n_nationkey", "n_regionkey", F.lit(5)).alias("value"))
     points = readers.covertype(spark, _text(spark, "covertype", body), 2)
     return points.select(*[F.col("v")[i].alias(f"x{i}") for i in range(2)])
+
+
+@query
+def assign_pruned(spark, d):
+    """The nearest of five centres, ruled out by a projection."""
+    p = vectors(spark, d)
+    return nearest(p, fixed(p, 0, 5), pruned=True).select("id", "cluster", F.round("d2", 6).alias("d2"))
+
+
+@query
+def squared_distances(spark, d):
+    """Squares of the L1 and L3 distances from one vector."""
+    p = vectors(spark, d)
+    pairs = p.join(F.broadcast(fixed(p, 0, 1).select(F.col("v").alias("c"))))  # one row
+    return pairs.select("id", F.round(vec.l1_squared("v", "c"), 4).alias("l1"), F.round(vec.lp_squared("v", "c", 3), 5).alias("l3"))
+
+
+def _facts(spark, d):
+    return _results(spark, d).withColumn("coreset_size_factor", F.when(F.col("seq") % 3 == 0, 500).otherwise(200))
+
+
+@query
+def filtered_facts(spark, d):
+    """One size factor, without two data sets, no k below a data set's own."""
+    rows = report.facts(_facts(spark, d), 200, ["Brand#11", "Brand#25"], {"#3": 20, "#4": 30})
+    return rows.select("seq", "dataset", "k")
+
+
+@query
+def results_pivot_max(spark, d):
+    out = report.pivot(_facts(spark, d).where("k <= 10"), ["dataset", "k"], "coreset_size_factor", [200, 500], "distortion", "max")
+    return out.select("dataset", "k", F.round("200", 4).alias("m200"), F.round("500", 4).alias("m500"))
+
+
+@query
+def results_pivot_join(spark, d):
+    rows = _facts(spark, d).groupBy("dataset", "coreset_size_factor", "k").agg(F.count("*").alias("n")).select("dataset", "coreset_size_factor", F.format_string("%02d:%d", "k", "n").alias("x"))
+    out = report.pivot(rows, ["dataset"], "coreset_size_factor", [200, 500], "x", "join")
+    return out.select("dataset", F.col("200").alias("m200"), F.col("500").alias("m500"))
+
+
+@query
+def latex_lines(spark, d):
+    """The lines of a table of means and standard deviations."""
+    out = report.summary(_results(spark, d), ["dataset", "algorithm"], "k", "seq")
+    out = out.select("dataset", "algorithm", report.mean_std("mean", "std").alias("k"))
+    return report.latex_rows(out, ["dataset", "algorithm", "k"]).select("line")
+
+
+@query
+def instance_names(spark, d):
+    """The parameters in the file names of hard instances."""
+    path = F.concat(F.lit("x/benchmark-k"), "p_size", F.lit("-alpha"), F.col("p_partkey") % 7, F.lit("-beta1.25.txt.gz"))
+    return table(spark, d, "part").select("p_partkey", report.instance_parameters(path).alias("x")).select("p_partkey", "x.k", "x.alpha", "x.beta")
+
+
+@query
+def candidate_distortions(spark, d):
+    """Five weighted k-means++ solutions on a sensitivity coreset, and how well it tells their costs."""
+    p = vectors(spark, d)
+    own = stored(coresets.sensitivity(p, 5, 200, seed=1), "coreset")
+    return evaluate.distortions(p, own, evaluate.candidate_solutions(own, 5))
+
+
+@query
+def stream_text_summary(spark, d):
+    """Points of comma-separated text, the last attribute dropped, summarised as a stream."""
+    folder, base = _folder(spark, "stream-text"), _folder(spark, "stream-state")
+    table(spark, d, "orders").select(F.concat_ws(",", F.col("o_custkey"), F.month("o_orderdate"), F.col("o_orderstatus")).alias("value")).write.text(folder)
+    run = cf_stream.summarize_stream(readers.text_stream(spark, folder, 2, "last"), 64, f"{base}/state", f"{base}/log")
+    state = cf_stream.finish(run, spark, f"{base}/state")
+    return state.agg(F.sum("n").cast("long").alias("n"), F.round(F.sum(F.col("ls")[0]), 2).alias("ls0"), F.round(F.sum(F.col("ls")[1]), 2).alias("ls1"))

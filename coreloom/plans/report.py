@@ -18,6 +18,26 @@ def pivot(results: DataFrame, keys: list[str], column: str, values: list[str], v
     return results.groupBy(*keys).pivot(column, values).agg(agg)
 
 
+def facts(results: DataFrame, factor: int | None = None, without=(), least_k: dict[str, int] | None = None) -> DataFrame:
+    """Rows of one coreset size factor, of none of the data sets ``without``, and with k at
+    least the value of each name in ``least_k`` that the data set's name contains. A null
+    data set is none of the names and stays."""
+    if factor is not None:
+        results = results.where(F.col("coreset_size_factor") == factor)
+    if without:
+        results = results.where(F.coalesce(~F.col("dataset").isin(*without), F.lit(True)))
+    for name, k in (least_k or {}).items():
+        results = results.where(F.coalesce(~F.col("dataset").contains(name), F.lit(True)) | (F.col("k") >= k))
+    return results
+
+
+def latex_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with ``line``, the row of a LaTeX table: cells with special signs escaped,
+    null cells empty."""
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"([&%$#_{}])", r"\\$1")
+    return rows.withColumn("line", F.concat(F.concat_ws(" & ", *[cell(c) for c in columns]), F.lit(r" \\")))
+
+
 def ratio(results: DataFrame, keys: list[str], value: str) -> DataFrame:
     out = results.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
     return out.withColumn("ratio", F.try_divide("high", "low"))
@@ -30,12 +50,14 @@ def minmax(results: DataFrame, key: str, value: str, name: str = "norm") -> Data
 
 
 def mean_std(mean, std, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f (%.{digits + 1}f)", mean, std)
+    """``mean (std)``; a value that is null, such as the deviation of one row, is ``nan``."""
+    text = lambda x, n: F.coalesce(F.when(F.isnotnull(x), F.format_string(f"%.{n}f", x)), F.lit("nan"))
+    return F.concat(text(mean, digits), F.lit(" ("), text(std, digits + 1), F.lit(")"))
 
 
 def duration(seconds: Column) -> Column:
-    s = seconds.cast("long")
     """``00h 00m 00s``"""
+    s = seconds.cast("long")
     return F.format_string("%02dh %02dm %02ds", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
 
 

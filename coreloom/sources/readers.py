@@ -129,3 +129,14 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern, so that a single file will do
     return rows.where("value is not null and ts is not null and not isnan(value)").select(F.col("event_id").alias("id"), F.array(F.col("value").cast("double"), F.hour("ts").cast("double")).alias("v"))
+
+
+def text_stream(spark: SparkSession, folder: str, width: int, drop: str | None = None) -> DataFrame:
+    """The comma-separated files of a folder as a stream of points (id, v) of ``width``
+    coordinates. drop: "first" or "last" names one more attribute that is left out. Lines of
+    another width, and headers, are skipped; ids are hashes of the lines."""
+    parts = F.transform(F.split(F.trim("value"), ","), lambda x: F.trim(x))
+    rows = spark.readStream.text(folder).select("value", parts.alias("parts"))
+    rows = rows.where(F.size("parts") == width + (drop is not None)).withColumn("parts", F.slice("parts", 2 if drop == "first" else 1, width))
+    rows = rows.where(F.forall("parts", lambda x: x.rlike(NUMBER)))
+    return rows.select(F.xxhash64("value").alias("id"), F.col("parts").cast("array<double>").alias("v"))

@@ -272,6 +272,44 @@ def test_report_columns(spark):
     assert [r["a"] for r in report.custom_order(spark.sql("SELECT explode(array('x','z','y')) a"), "a", ["z", "y"]).collect()] == ["z", "y", "x"]
 
 
+def test_facts_and_latex_rows(spark):
+    rows = spark.createDataFrame([("A k=20", 10, 200), ("A k=20", 20, 200), ("B", 10, 200), ("B", 10, 500), (None, 10, 200)], "dataset string, k int, coreset_size_factor int")
+    kept = report.facts(rows, 200, ["B"], {"k=20": 20}).collect()
+    assert sorted((r["dataset"] or "", r["k"]) for r in kept) == [("", 10), ("A k=20", 20)]
+    assert report.facts(rows).count() == 5
+    line = report.latex_rows(spark.sql("SELECT 'a_b & 5%' x, cast(null as int) y"), ["x", "y"]).first()["line"]
+    assert line == r"a\_b \& 5\% &  \\"
+    label = spark.sql("SELECT 1.0D m, cast(null as double) s").select(report.mean_std("m", "s").alias("x")).first()["x"]
+    assert label == "1.00 (nan)"
+
+
+def test_pruned_is_the_same_nearest():
+    from coreloom.operators.assign import squared, squared_pruned
+
+    draw = np.random.default_rng(4)
+    for n, k, d in ((0, 3, 2), (500, 7, 3), (5000, 40, 2), (50, 1, 4)):
+        x, c = draw.integers(0, 4, (n, d)).astype(float), draw.integers(0, 4, (k, d)).astype(float)
+        every = ((x[:, None] - c) ** 2).sum(2)
+        for found, d2 in (squared(x, c), squared_pruned(x, c)):
+            assert (found == every.argmin(1)).all() and (d2 == every.min(1)).all()
+
+
+def test_centers_must_be_finite(spark):
+    evaluate.require_finite(centers(spark, [(0, 1)]))
+    for bad in (float("nan"), float("inf"), float("-inf")):
+        with pytest.raises(ValueError, match="not finite"):
+            evaluate.require_finite(centers(spark, [(0, 1), (bad, 1)]))
+
+
+def test_text_stream_skips_what_is_no_point(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("id,x,y\n7,1,2.5\n8,1\n9,x,2\n\n10, -3 ,4e1\n")
+    rows = readers.text_stream(spark, str(tmp_path / "in"), 2, "first")
+    run = rows.writeStream.format("memory").queryName("text_points").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(r["v"] for r in spark.table("text_points").collect()) == [[-3.0, 40.0], [1.0, 2.5]]
+
+
 def test_import_without_optional_part():
     import __spark_entry__
 

@@ -39,3 +39,8 @@ def test_pca_ratios_add_up(spark):
 def test_lloyd_cost_does_not_rise(spark):
     costs = [r["cost"] for r in registry.QUERIES["lloyd_converged"](spark, SF).orderBy("iteration").collect()]
     assert all(b <= a * (1 + 1e-12) for a, b in zip(costs, costs[1:]))
+
+
+def test_candidate_distortions(spark):
+    rows = registry.QUERIES["candidate_distortions"](spark, SF).collect()
+    assert sorted(r["solution"] for r in rows) == list(range(5)) and all(1 <= r["distortion"] < 2 for r in rows)
