@@ -50,8 +50,9 @@ def minmax(results: DataFrame, key: str, value: str, name: str = "norm") -> Data
 
 
 def mean_std(mean, std, digits: int = 2) -> Column:
-    """``mean (std)``; a value that is null, such as the deviation of one row, is ``nan``."""
-    text = lambda x, n: F.coalesce(F.when(F.isnotnull(x), F.format_string(f"%.{n}f", x)), F.lit("nan"))
+    """``mean (std)``, ties to the even digit; a value that is null, such as the deviation of
+    one row, is ``nan``."""
+    text = lambda x, n: F.coalesce(F.when(F.isnotnull(x), F.format_string(f"%.{n}f", F.bround(x, n))), F.lit("nan"))
     return F.concat(text(mean, digits), F.lit(" ("), text(std, digits + 1), F.lit(")"))
 
 

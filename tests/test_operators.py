@@ -281,6 +281,8 @@ def test_facts_and_latex_rows(spark):
     assert line == r"a\_b \& 5\% &  \\"
     label = spark.sql("SELECT 1.0D m, cast(null as double) s").select(report.mean_std("m", "s").alias("x")).first()["x"]
     assert label == "1.00 (nan)"
+    label = spark.sql("SELECT 27.125D m, 0.0625D s").select(report.mean_std("m", "s").alias("x")).first()["x"]
+    assert label == f"{27.125:.2f} ({0.0625:.3f})" == "27.12 (0.062)"
 
 
 def test_pruned_is_the_same_nearest():
