@@ -20,7 +20,7 @@ def weighted_choice(items: DataFrame, draws: int, seed, buckets: int = BUCKETS)
     on the cumulative weight, so the work is linear and no bucket holds all rows."""
     spark = items.sparkSession
     rows = items.where("w > 0").select("id", F.col("w").cast("double").alias("w"), F.pmod("id", F.lit(buckets)).alias("b"))
-    totals = rows.groupBy("b").agg(F.sum("w").alias("bw"))
+    totals = rows.groupBy("b").agg(F.sum("w").alias("bw"), F.max("id").alias("top"))
     up = F.sum("bw").over(W.orderBy("b"))  # at most ``buckets`` rows
     totals = totals.withColumn("hi", up).withColumn("lo", F.col("hi") - F.col("bw")).withColumn("all", F.sum("bw").over(W.partitionBy()))
     last = F.max("b").over(W.partitionBy())
@@ -28,13 +28,13 @@ def weighted_choice(items: DataFrame, draws: int, seed, buckets: int = BUCKETS)
     asked = spark.range(draws).select(F.col("id").alias("draw"), rng.uniform(seed, F.col("id")).alias("u"))
     t = F.broadcast(totals)
     placed = asked.join(t, (F.col("u") * F.col("all") >= F.col("lo")) & ((F.col("u") * F.col("all") < F.col("hi")) | (F.col("b") == F.col("last"))))
-    placed = placed.select("b", (F.col("u") * F.col("all") - F.col("lo")).alias("pos"), F.lit(1).alias("kind"), "draw", F.lit(None).cast("long").alias("id"))
+    placed = placed.select("b", (F.col("u") * F.col("all") - F.col("lo")).alias("pos"), F.lit(1).alias("kind"), "draw", F.lit(None).cast("long").alias("id"), "top")
     run = F.sum("w").over(W.partitionBy("b").orderBy("id").rowsBetween(W.unboundedPreceding, 0))
-    own = rows.select("b", run.alias("pos"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("draw"), "id")
-    w = W.partitionBy("b").orderBy("pos", "kind", "draw", "id")
-    after = F.first("id", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    before = F.last("id", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))  # rounding at the very end
-    merged = own.unionByName(placed).withColumn("hit", F.coalesce(after, before))
+    own = rows.select("b", run.alias("pos"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("draw"), "id", F.lit(None).cast("long").alias("top"))
+    # from the end on, a running value: a frame that ends at the end is read again for every row
+    down = W.partitionBy("b").orderBy(F.desc("pos"), F.desc("kind"), F.desc("draw"), F.desc("id"))
+    after = F.last("id", ignorenulls=True).over(down.rowsBetween(W.unboundedPreceding, 0))
+    merged = own.unionByName(placed).withColumn("hit", F.coalesce(after, "top"))  # top: rounding at the very end
     return merged.where("kind = 1").select("draw", F.col("hit").alias("id"))
 
 
