@@ -103,8 +103,9 @@ def _odd(seed, tag: str) -> int:
 def bucket_hash(row: F.Column, bits: int, seed) -> F.Column:
     """Multiply-shift hash of a non-negative long to [0, 2^bits): top bits of (a x + b) mod 2^64."""
     a, b = _odd(seed, "a"), _odd(seed, "b")
-    x = (row.cast("decimal(19,0)") * F.lit(str(a)).cast("decimal(18,0)")).cast("decimal(38,0)") + F.lit(str(b)).cast("decimal(38,0)")
-    return F.floor((x.cast("decimal(38,0)") % F.lit(_WORD).cast("decimal(20,0)")).cast("decimal(38,0)") / F.lit(str(1 << (64 - bits))).cast("decimal(20,0)")).cast("long")
+    x = (row.cast("decimal(19,0)") * F.lit(str(a)).cast("decimal(19,0)")).cast("decimal(38,0)") + F.lit(str(b)).cast("decimal(38,0)")
+    low = x.cast("decimal(38,0)") % F.lit(_WORD).cast("decimal(20,0)")
+    return F.call_function("div", low, F.lit(str(1 << (64 - bits))).cast("decimal(20,0)"))  # / rounds to six places, up to the next bucket
 
 
 def bucket_hash_sql(row: str, bits: int, seed) -> str:

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from coreloom.operators import sampling
+from coreloom.operators import reduce, sampling
 
 
 def test_draws_from_a_long_bucket(spark):
@@ -14,3 +14,14 @@ def test_draws_from_a_long_bucket(spark):
     up = np.cumsum(1 + ids % 9)
     u = {r["id"]: r["u"] for r in spark.range(300).select("id", sampling.rng.uniform(5, F.col("id")).alias("u")).collect()}
     assert {r["draw"]: r["id"] for r in draws.collect()} == {i: ids[np.searchsorted(up, x * up[-1], "right")] for i, x in u.items()}
+
+
+def test_bucket_hash_next_to_a_bound(spark):
+    a, b = (reduce._odd(31, t) for t in "ab")
+    rows = np.arange(10_000_000, dtype=np.uint64)
+    x = rows * np.uint64(a) + np.uint64(b)  # modulo 2^64
+    left = np.uint64(1 << 60) - x % np.uint64(1 << 60)
+    near = rows[left < np.uint64(1 << 39)]  # a quotient of six places is that of the next bucket
+    assert len(near)
+    got = spark.createDataFrame([(int(r),) for r in near], "row long").select("row", reduce.bucket_hash(F.col("row"), 4, 31).alias("h")).collect()
+    assert {r["row"]: r["h"] for r in got} == {int(r): ((int(r) * a + b) % 2**64) >> 60 for r in near}
