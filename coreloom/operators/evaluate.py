@@ -11,9 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coreloom.functions import rng, vec
-from coreloom.operators import aggregates, hard_instance
-from coreloom.operators.assign import matrix, nearest
-from coreloom.session import small
+from coreloom.operators import aggregates, blocks, hard_instance
+from coreloom.operators.assign import matrix, nearest, squared
 
 
 def cost(points: DataFrame, centers: DataFrame, added_mass: float = 0.0) -> DataFrame:
@@ -120,12 +119,28 @@ def convex_candidates(centers: DataFrame, n: int, seed) -> DataFrame:
     return rows.select(F.col("id").alias("cid"), F.zip_with("va", "vb", lambda x, y: F.col("t") * x + (1.0 - F.col("t")) * y).alias("v"))
 
 
+def _snapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per pair of blocks the nearest point (lowest id of several) of each coreset row."""
+    for b in batches:
+        for row in range(b.num_rows):
+            c, idx, w = blocks.side(b, row, "c", "idx", "w")
+            x, ids = blocks.side(b, row, "p", "id")
+            order = np.argsort(ids, kind="stable")
+            place, d = squared(c, x[order])
+            yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(w), pa.array(ids[order][place]), pa.array(d)], names=["idx", "w", "id", "d2"])
+
+
 def snap(coreset: DataFrame, points: DataFrame) -> DataFrame:
-    """idx, w, id: the dataset point nearest to each coreset point. The coreset is the small
-    side: every partition answers with its best point for each coreset row."""
-    c = small(coreset.select("idx", F.col("v").alias("cv"), "w"))
-    pairs = points.select("id", "v").join(c)
-    best = pairs.groupBy("idx").agg(F.min(F.struct(vec.d2("v", "cv").alias("d2"), "id")).alias("x"), F.first("w").alias("w"))
+    """idx, w, id: the dataset point nearest to each coreset point. Blocks of both sides meet,
+    and a pair of blocks answers with a row for each coreset row. The points stay in their
+    partitions; a coreset of more than a block is dealt, so that few partitions of points
+    still make enough tasks."""
+    coreset = coreset.select("idx", "v", F.col("w").cast("double").alias("w"))
+    parts = min(64, coreset.count() // blocks.ROWS + 1)
+    c = blocks.packed(coreset.repartition(parts), "c")
+    pairs = blocks.met(c, blocks.packed(points.select("id", "v"), "p"))
+    rows = pairs.mapInArrow(_snapped, "idx long, w double, id long, d2 double")
+    best = rows.groupBy("idx").agg(F.min(F.struct("d2", "id")).alias("x"), F.first("w").alias("w"))
     return best.select("idx", "w", "x.id")
 
 

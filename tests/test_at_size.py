@@ -41,3 +41,20 @@ def test_rays_a_point_lies_behind(spark, tmp_path):
     behind = [i for i, (c, _) in own.items() if (v[i, :3] < v[c, :3]).all()]
     assert any(own[i][1] > 1 for i in behind)  # equally far by definition, by rounding not
     assert own == {r.id: (r.cluster, r.ray) for r in want.itertuples()}
+
+
+def points(spark, path, v) -> str:
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+def plan(rows) -> str:
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_snap_in_blocks(spark, tmp_path):
+    v = np.random.default_rng(2).integers(-2, 3, size=(2500, 3)).astype(float)  # many copies: the lowest id counts
+    rows = registry.QUERIES["snap_to_points"](spark, points(spark, tmp_path, v))
+    assert "BroadcastNestedLoopJoin" not in plan(rows)  # a row for each pair, all sorted
+    d = (((v[::10] * 1.01)[:, None] - v) ** 2).sum(2)
+    assert {r["idx"]: r["id"] for r in rows.collect()} == dict(zip(range(0, 2500, 10), d.argmin(1)))
