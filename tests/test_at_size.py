@@ -58,3 +58,15 @@ def test_snap_in_blocks(spark, tmp_path):
     assert "BroadcastNestedLoopJoin" not in plan(rows)  # a row for each pair, all sorted
     d = (((v[::10] * 1.01)[:, None] - v) ** 2).sum(2)
     assert {r["idx"]: r["id"] for r in rows.collect()} == dict(zip(range(0, 2500, 10), d.argmin(1)))
+
+
+def test_pairs_in_blocks_round_as_the_sql(spark, tmp_path):
+    r = np.random.default_rng(4)
+    v = r.normal(size=(700, 8))
+    v = np.vstack([v, v[:40], v[:40] + 1e-4, 1e6 + v[:40]])  # copies, near pairs, far from 0
+    rows = registry.QUERIES["pairwise_distances"](spark, points(spark, tmp_path, v))
+    assert "MapInArrow" in plan(rows)
+    got = rows.toPandas().sort_values(["a", "b"])
+    t = np.cumsum((v[:, None] - v) ** 2, axis=2)[:, :, -1] * 1e6
+    want = (np.floor(t) + (t - np.floor(t) >= 0.5)) / 1e6
+    assert len(got) == len(v) ** 2 and (got["dist"].to_numpy().reshape(len(v), -1) == want).all()
