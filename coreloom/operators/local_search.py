@@ -4,25 +4,68 @@ is a sum over points, so no swap needs a pass of its own."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coreloom.functions import rng, vec
-from coreloom.session import small
+from coreloom.operators import blocks
+from coreloom.session import small, stored
+
+
+def _sums(cids: list[int]):
+    """opened, closed, cost: the part of a task's points in the cost of every swap."""
+    closed = np.array(cids, np.int64)
+
+    def told(opened: np.ndarray, cost: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(opened, len(closed))), pa.array(np.tile(closed, len(opened))), pa.array(cost.T.ravel())], names=["opened", "closed", "cost"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, cost = None, None
+        for b in batches:
+            for row in range(b.num_rows):
+                q, ids = blocks.side(b, row, "q", "opened")
+                x, own, d_own, d_next = blocks.side(b, row, "p", "own", "d_own", "d_next")
+                if opened is None or not np.array_equal(opened, ids):
+                    if opened is not None:
+                        yield told(opened, cost)
+                    opened, cost = ids, np.zeros((len(closed), len(ids)))
+                order = np.argsort(own, kind="stable")
+                x, own, d_own, d_next = x[order], own[order], d_own[order], d_next[order]
+                product = blocks.Product(x, q)
+                for a in range(0, len(x), 32):  # stays in the cache
+                    d = product.distances(a, a + 32)
+                    stay = np.fmin(d, d_own[a : a + 32, None])
+                    lost = np.fmin(d, d_next[a : a + 32, None], out=d)
+                    cost += stay.sum(0)
+                    lost -= stay
+                    edge = np.flatnonzero(np.diff(own[a : a + 32], prepend=own[a] - 1))
+                    cost[np.searchsorted(closed, own[a : a + 32][edge])] += np.add.reduceat(lost, edge)
+        if opened is not None:
+            yield told(opened, cost)
+
+    return run
 
 
 def swap_costs(points: DataFrame, centers: DataFrame, candidates: DataFrame, whole: bool = False) -> DataFrame:
     """closed (cid), opened (id), cost: for every pair of a centre and a candidate. Centres
     and candidates are small tables (k and the candidates of a round). whole: any number of
-    candidates, which meet the points partition by partition, with nothing broadcast."""
+    candidates, which meet the points block by block, with none of them broadcast."""
     near = points.select("id", "v").join(small(centers.select("cid", F.col("v").alias("c"))))
     near = near.select("id", "v", "cid", vec.d2("v", "c").alias("d2"))
     two = near.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("d2", "cid"))).where("r <= 2")
     two = two.groupBy("id").agg(F.first("v").alias("v"), F.min(F.when(F.col("r") == 1, F.col("cid"))).alias("own"), F.min(F.when(F.col("r") == 1, F.col("d2"))).alias("d_own"), F.min(F.when(F.col("r") == 2, F.col("d2"))).alias("d_next"))
     news = candidates.select(F.col("id").alias("opened"), F.col("v").alias("q"))
-    news = news.hint("shuffle_replicate_nl") if whole else small(news)
-    tried = two.join(news).select("opened", "own", "d_own", "d_next", vec.d2("v", "q").alias("d_new"))
+    if whole:
+        two = two.select("v", "own", "d_own", F.coalesce("d_next", F.lit(float("inf"))).alias("d_next"))
+        pairs = blocks.met(blocks.spread(news.withColumnRenamed("q", "v"), "q"), blocks.spread(stored(two, "two-nearest"), "p"))
+        parts = pairs.mapInArrow(_sums(sorted(r["cid"] for r in centers.select("cid").collect())), "opened long, closed long, cost double")
+        return parts.groupBy("closed", "opened").agg(F.sum("cost").alias("cost"))
+    tried = two.join(small(news)).select("opened", "own", "d_own", "d_next", vec.d2("v", "q").alias("d_new"))
     open_cost = F.least("d_own", "d_new")
     closed_cost = F.least(F.coalesce("d_next", F.lit(float("inf"))), F.col("d_new"))
     sums = tried.groupBy("opened", F.col("own").alias("closed")).agg(F.sum(open_cost).alias("stay"), F.sum(closed_cost).alias("lost"))

@@ -70,3 +70,17 @@ def test_pairs_in_blocks_round_as_the_sql(spark, tmp_path):
     t = np.cumsum((v[:, None] - v) ** 2, axis=2)[:, :, -1] * 1e6
     want = (np.floor(t) + (t - np.floor(t) >= 0.5)) / 1e6
     assert len(got) == len(v) ** 2 and (got["dist"].to_numpy().reshape(len(v), -1) == want).all()
+
+
+def test_swaps_in_blocks(spark, tmp_path):
+    v = np.random.default_rng(5).normal(size=(900, 4))
+    v = np.vstack([v, v[:30], 1e4 + v[:30], 1e4 + v[:30]])
+    rows = registry.QUERIES["local_search_swap"](spark, points(spark, tmp_path, v))
+    assert "MapInArrow" in plan(rows)
+    got = {(r["closed"], r["opened"]): r["cost"] for r in rows.collect()}
+    d = ((v[:, None] - v) ** 2).sum(2)
+    for c in range(5):
+        stay = d[:, [i for i in range(5) if i != c]].min(1)
+        want = np.minimum(stay[:, None], d).sum(0)
+        assert np.allclose([got[c, q] for q in range(5, len(v))], want[5:], rtol=1e-10, atol=1e-6)
+    assert len(got) == 5 * (len(v) - 5)
