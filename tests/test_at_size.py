@@ -6,7 +6,7 @@ import numpy as np
 from conftest import oracle
 from pyspark.sql import functions as F
 
-from coreloom.operators import reduce, sampling
+from coreloom.operators import lloyd, reduce, sampling
 from coreloom.plans import registry
 
 
@@ -84,3 +84,15 @@ def test_swaps_in_blocks(spark, tmp_path):
         want = np.minimum(stay[:, None], d).sum(0)
         assert np.allclose([got[c, q] for q in range(5, len(v))], want[5:], rtol=1e-10, atol=1e-6)
     assert len(got) == 5 * (len(v) - 5)
+
+
+def test_runs_of_lloyd_share_their_passes(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(300, 3))
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    starts = [p.where(F.col("id") < k).select(F.col("id").alias("cid"), "v") for k in (2, 5, 9)]
+    alone = [lloyd.lloyd(p, c)[1] for c in starts]
+    passes, steps = [], lloyd.steps
+    monkeypatch.setattr(lloyd, "steps", lambda points, runs: passes.append(len(runs)) or steps(points, runs))
+    together = [costs for _, costs in lloyd.lloyd_runs(p, starts)]
+    assert [len(c) for c in together] == [len(c) for c in alone] and all(np.allclose(a, b) for a, b in zip(together, alone))
+    assert len(passes) == max(map(len, alone)) and passes[0] == 3 == passes[-1]
