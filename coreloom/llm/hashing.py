@@ -2,7 +2,7 @@
 
 A word is ``[^\\x20\\x09-\\x0D]+`` on the UTF-8 bytes of a text. A word's hash chains a
 bijective finaliser over its blocks of eight bytes (long words: XXH3); a window's hash is a
-tree of such steps over its words' hashes. ``run_hashes``, for runs of any length, is a
+tree of such steps over its words' hashes. ``RunHashes``, for runs of any length, is a
 polynomial: structured strings can share one, so it only proposes candidates. All depend on
 the content alone, so every task gets the same hash for the same words. Where rows merge,
 ``digest128`` of the bytes decides, a cryptographic digest."""
@@ -46,12 +46,17 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     return got[:n]
 
 
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of values[start:end] for each run."""
-    n = len(values)
-    prefix = np.zeros(n + 1, _U)
-    np.cumsum(values * powers(base, n), out=prefix[1:])
-    return mix64((prefix[ends] - prefix[starts]) * powers(base, n + 1, inverse=True)[starts])
+class RunHashes:
+    """Hashes of runs of some values: of values[start:end] for each run asked for."""
+
+    def __init__(self, values: np.ndarray, base: int):
+        n = len(values)
+        self.prefix = np.zeros(n + 1, _U)
+        np.cumsum(values * powers(base, n), out=self.prefix[1:])
+        self.back = powers(base, n + 1, inverse=True)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix64((self.prefix[ends] - self.prefix[starts]) * self.back[starts])
 
 
 class Words:

@@ -14,7 +14,8 @@ shorter lines stay. Empty lines always stay. Lines are judged on the input, not
    to ``tau`` less, at the substrings whose shift is compatible with that segment
    (multi-match-aware selection). A bounded filter of the index keys keeps probes that can't
    match out of the shuffle; the join on the key is exact.
-3. A bucket (one key) is compared where it lies, by a signature of character counts (two
+3. Keys are counted, and a bounded filter of those with several rows keeps index entries that
+   are alone out of the shuffle. A bucket (one key) is compared where it lies, by a signature of character counts (two
    lines within ``tau`` edits differ by at most ``2 * tau`` in all), and gives out the rows
    that have a partner, never pairs. A bucket of more than ``BUCKET`` rows is dealt to blocks
    of its index entries against blocks of all its rows.
@@ -35,13 +36,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coreloom.llm.hashing import _BASES, digest128, mix64, run_hashes, text_chunks
+from coreloom.llm.hashing import _BASES, RunHashes, digest128, mix64, text_chunks
 from coreloom.llm.util import HashFilter, hashes_in, read_table, written
 
 TAU, MIN_CHARS = 2, 20
@@ -49,44 +51,63 @@ TAU, MIN_CHARS = 2, 20
 EXACT_CHARS = 1
 #: Rows of a bucket that meet in one block.
 BUCKET = 4000
-_TRIM = " \t\r\x0b\x0c"
+_TRIM = b" \t\r\x0b\x0c"
+_BLANK = np.zeros(256, bool)
+_BLANK[list(_TRIM)] = True
 _LAST = (1 << 63) - 1
 _U = np.uint64
 
 
 class Lines:
-    """The long enough lines of some texts, as runs of code points."""
-
-    def __init__(self, texts: list[str], min_chars: int):
-        cut = [t.split("\n") for t in texts]
-        flat = [x.strip(_TRIM) for own in cut for x in own]
-        size = np.fromiter(map(len, flat), np.int64, len(flat))
-        text = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
-        number = np.arange(len(flat)) - np.repeat(np.cumsum([0, *map(len, cut)])[:-1], [len(x) for x in cut])
-        use = np.flatnonzero(size >= min_chars)
-        self.text, self.number, self.length = text[use], number[use], size[use]
-        self.lines = [flat[i] for i in use]
-        self.points = np.frombuffer("".join(self.lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U) + _U(1)
-        self.end = np.cumsum(self.length)
-        self.start = self.end - self.length
-        self.ids = digest128(x.encode("utf-8", "surrogatepass") for x in self.lines)
-
-    def signature(self) -> np.ndarray:
+    """The long enough lines of some texts, as runs of their bytes and of their code points."""
+
+    def __init__(self, texts: list[bytes], min_chars: int):
+        self.data = b"\n".join(texts)
+        raw = np.frombuffer(self.data + b"\n", np.uint8)
+        end = np.flatnonzero(raw == 10)
+        start = np.concatenate([[0], end[:-1] + 1])
+        _trimmed(self.data, raw, start, end)
+        own = np.array([t.count(b"\n") + 1 for t in texts])
+        text = np.repeat(np.arange(len(texts)), own)
+        number = np.arange(len(end)) - np.repeat(np.cumsum(own) - own, own)
+        self.points = np.frombuffer(self.data.decode().encode("utf-32-le"), np.uint32)
+        if len(self.points) < len(self.data):
+            inner = np.flatnonzero((raw & 0xC0) == 0x80)  # bytes that begin no code point
+            first, last = start - np.searchsorted(inner, start), end - np.searchsorted(inner, end)
+        else:
+            first, last = start, end
+        use = np.flatnonzero(last - first >= min_chars)
+        self.text, self.number, self.bytes = text[use], number[use], list(zip(start[use].tolist(), end[use].tolist()))
+        self.start, self.end = first[use], last[use]
+        self.length = self.end - self.start
+        self._runs = None
+
+    def content(self, use: np.ndarray) -> list[bytes]:
+        return [self.data[a:b] for a, b in map(self.bytes.__getitem__, use.tolist())]
+
+    def digests(self, use: np.ndarray | None = None) -> np.ndarray:
+        return digest128(self.content(np.arange(len(self.length)) if use is None else use))
+
+    def signature(self, use: np.ndarray) -> np.ndarray:
         """Sixteen counts of code points by class, modulo 16, in 64 bits."""
-        kind = (mix64(self.points) & _U(15)).astype(np.int64)
-        line = np.repeat(np.arange(len(self.length)), self.length)
-        counts = np.bincount(line * 16 + kind, minlength=len(self.length) * 16).reshape(-1, 16).astype(_U) & _U(15)
+        if not len(use):
+            return np.zeros(0, _U)
+        points = np.concatenate([self.points[a:b] for a, b in zip(self.start[use].tolist(), self.end[use].tolist())])
+        line = np.repeat(np.arange(0, len(use) * 16, 16), self.length[use])
+        counts = np.bincount(line + _classes()[points], minlength=len(use) * 16).reshape(-1, 16).astype(_U) & _U(15)
         return (counts << (np.arange(16, dtype=_U) * _U(4))).sum(axis=1, dtype=_U)
 
     def segment(self, length: np.ndarray, i: int, shift: int, tau: int) -> tuple[np.ndarray, np.ndarray]:
         """(key, valid) of the substring that stands for segment i of a line of ``length``."""
+        if self._runs is None:  # of all code points once, whatever is asked of them
+            self._runs = RunHashes(self.points.astype(_U) + _U(1), _BASES[2])
         parts = tau + 1
         base, rest = length // parts, length % parts
         size = base + (i >= parts - rest)
         at = i * base + np.maximum(0, i - (parts - rest)) + shift
         valid = (length >= parts) & (at >= 0) & (at + size <= self.length)
         a = np.where(valid, self.start + at, 0)
-        h = run_hashes(self.points, a, np.where(valid, a + size, 0), _BASES[2]) if len(self.points) else np.zeros(len(length), _U)
+        h = self._runs(a, np.where(valid, a + size, 0))
         return mix64(h ^ mix64((length * 16 + i).astype(_U))), valid
 
     def index_keys(self, tau: int) -> np.ndarray:
@@ -103,6 +124,20 @@ class Lines:
                         yield key, valid & (key != own[:, i]), kind_of(i, less, tau)
 
 
+def _trimmed(data: bytes, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    """Takes the white space at both ends off lines."""
+    for k in np.flatnonzero((start < end) & (_BLANK[raw[start]] | _BLANK[raw[end - 1]])).tolist():
+        line = data[start[k] : end[k]].lstrip(_TRIM)
+        start[k] = end[k] - len(line)
+        end[k] = start[k] + len(line.rstrip(_TRIM))
+
+
+@cache
+def _classes() -> np.ndarray:
+    """The class of each code point in a signature."""
+    return (mix64(np.arange(1, 0x110001, dtype=_U)) & _U(15)).astype(np.uint8)
+
+
 def shifts(i: int, less: int, tau: int) -> range:
     """Where segment i of a line may lie in a line that is ``less`` longer."""
     return range(max(-i, less - (tau - i)), min(i, less + tau - i) + 1)
@@ -177,9 +212,11 @@ def _scan(tau: int, min_chars: int, exact_chars: int):
             doc, rk = b.column(0).to_numpy(), b.column(1).to_numpy()
             for ids, texts in text_chunks(range(b.num_rows), b.column(2).cast(pa.binary()).to_pylist()):
                 ids = np.array(ids)
-                own = Lines([t.decode() for t in texts], exact_chars)
-                at = ids[own.text] if len(own.text) else np.zeros(0, np.int64)
+                own = Lines(texts, exact_chars)
+                at, digests = ids[own.text], own.digests()
                 short = own.length < min_chars
+                sig = np.zeros(len(short), _U)
+                sig[~short] = own.signature(np.flatnonzero(~short))
                 keys = own.index_keys(tau).astype(_U).view(np.int64)[~short].ravel()
                 ends = np.concatenate([[0], np.cumsum(~short)]) * (tau + 1)
                 yield pa.RecordBatch.from_pydict(
@@ -187,9 +224,9 @@ def _scan(tau: int, min_chars: int, exact_chars: int):
                         "doc": pa.array(doc[at]),
                         "rk": pa.array(rk[at]),
                         "line": pa.array(own.number.astype(np.int32)),
-                        "h1": pa.array(own.ids[:, 0]),
-                        "h2": pa.array(own.ids[:, 1]),
-                        "sig": pa.array(own.signature().view(np.int64), mask=short),
+                        "h1": pa.array(digests[:, 0]),
+                        "h2": pa.array(digests[:, 1]),
+                        "sig": pa.array(sig.view(np.int64), mask=short),
                         "keys": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys), mask=pa.array(short)),
                     }
                 )
@@ -204,8 +241,7 @@ def _probes(tau: int, min_chars: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, texts in text_chunks(range(b.num_rows), b.column(0).cast(pa.binary()).to_pylist()):
-                own = Lines([t.decode() for t in texts], min_chars)
-                sig = own.signature()
+                own = Lines(texts, min_chars)
                 key, line, kind = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
                 for k, valid, what in own.probes(tau):
                     keep = np.flatnonzero(valid)
@@ -213,14 +249,16 @@ def _probes(tau: int, min_chars: int, shared):
                     key.append(k[keep])
                     line.append(keep)
                     kind.append(np.full(len(keep), what, np.int32))
-                line = np.concatenate(line)
+                # few lines have a probe that may match: only these are digested
+                hit, line = np.unique(np.concatenate(line), return_inverse=True)
+                digests, sig = own.digests(hit), own.signature(hit)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "key": pa.array(np.concatenate(key).view(np.int64)),
                         "kind": pa.array(np.concatenate(kind)),
                         "probe": pa.array(np.ones(len(line), bool)),
-                        "h1": pa.array(own.ids[line, 0]),
-                        "h2": pa.array(own.ids[line, 1]),
+                        "h1": pa.array(digests[line, 0]),
+                        "h2": pa.array(digests[line, 1]),
                         "sig": pa.array(sig[line].view(np.int64)),
                     }
                 )
@@ -338,9 +376,10 @@ def _fetch(min_chars: int, texts_in, lines_in):
         for b in batches:
             b = b.filter(pa.array(hashes_in(texts_in.value, b.column(0).to_numpy())))
             for _, texts in text_chunks(range(b.num_rows), b.column(1).cast(pa.binary()).to_pylist()):
-                own = Lines([t.decode() for t in texts], min_chars)
-                use = np.flatnonzero(hashes_in(lines_in.value, own.ids[:, 0]))
-                yield pa.RecordBatch.from_pydict({"h1": pa.array(own.ids[use, 0]), "h2": pa.array(own.ids[use, 1]), "content": pa.array([own.lines[i] for i in use], pa.string())})
+                own = Lines(texts, min_chars)
+                digests = own.digests()
+                use = np.flatnonzero(hashes_in(lines_in.value, digests[:, 0]))
+                yield pa.RecordBatch.from_pydict({"h1": pa.array(digests[use, 0]), "h2": pa.array(digests[use, 1]), "content": pa.array(own.content(use), pa.binary()).cast(pa.string())})
 
     return run
 
@@ -350,16 +389,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*_place(), text.alias("text"))
 
 
-def _dealt(entries: DataFrame, probes: DataFrame) -> DataFrame:
+def _with_company(tau: int, shared):
+    """Lines h1, h2, sig, keys -> their entries in buckets that may have another row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(3).flatten().to_numpy()
+            at = np.flatnonzero(hashes_in(shared.value, keys))
+            line = pa.array(at // (tau + 1))
+            kind, probe = (at % (tau + 1)).astype(np.int32), np.zeros(len(at), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(kind), pa.array(probe), *(b.column(i).take(line) for i in range(3))], ["key", "kind", "probe", "h1", "h2", "sig"])
+
+    return run
+
+
+def _dealt(met: DataFrame, buckets: DataFrame) -> DataFrame:
     """The entries of buckets with company, by (key, i, j). side 0: the whole bucket meets in
     one block; in larger ones 1: an index entry on the left, 2: any line on the right."""
-    met = entries.unionAll(probes)
-    large = written(met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key", F.ceil(F.col("n") / BUCKET).alias("blocks")), "large-buckets")
+    large = buckets.where(F.col("n") > BUCKET).select("key", F.ceil(F.col("n") / BUCKET).alias("blocks"))
     zero = F.lit(0).cast("long")
-    plain = met.select("key", zero.alias("i"), zero.alias("j"), F.lit(0).alias("side"), "kind", "probe", "h1", "h2", "sig")
     hot = large.count()
     if not hot:
-        return plain
+        return met.select("key", zero.alias("i"), zero.alias("j"), F.lit(0).alias("side"), "kind", "probe", "h1", "h2", "sig")
+    met = written(met, "line-entries")
     # each of them holds more than BUCKET rows, so there are few
     large = F.broadcast(large) if hot <= 100_000 else large
     marked = met.join(large, "key", "left")
@@ -375,12 +427,17 @@ def _dealt(entries: DataFrame, probes: DataFrame) -> DataFrame:
 def edit_links(lines: DataFrame, rows: DataFrame, tau: int, min_chars: int) -> DataFrame:
     """lines: h1, h2, first, sig, keys, one row a different line; rows: rk, text -> h1, h2, links,
     least: how many different lines are within tau edits, and the earliest place of one."""
-    entries = lines.select(F.posexplode("keys").alias("kind", "key"), "h1", "h2", "sig").select("key", "kind", F.lit(False).alias("probe"), "h1", "h2", "sig")
+    entries = lines.select(F.explode("keys").alias("key"))
     index = HashFilter(entries, "key", expected=lines.count() * (tau + 1))
     probes = written(rows.select("text").mapInArrow(_probes(tau, min_chars, index.shared), _ENTRY).distinct(), "line-probes")
     index.done()
-    met = _dealt(entries, probes).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    buckets = written(entries.unionAll(probes.select("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "line-buckets")
+    # most index entries are alone in their bucket; these are kept out of the shuffle
+    company = HashFilter(buckets, "key", expected=buckets.count())
+    met = lines.select("h1", "h2", "sig", "keys").mapInArrow(_with_company(tau, company.shared), _ENTRY).unionAll(probes)
+    met = _dealt(met, buckets).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     some = written(met.mapInArrow(_with_partner(tau), _DEALT_DDL), "line-partners")
+    company.done()
     places = written(lines.join(some.select("h1", "h2").distinct(), ["h1", "h2"]).select("h1", "h2", "first.*"), "line-places")
     # the earliest text that holds a line is read again for it
     texts_in, lines_in = HashFilter(places, "rk"), HashFilter(places, "h1")

@@ -154,7 +154,10 @@ def hashes_in(raw: bytes, hashes: np.ndarray) -> np.ndarray:
     """Which hashes the bytes of a HashFilter hold; its size follows from their length."""
     filled, mask = np.frombuffer(raw, np.uint64), np.uint64(len(raw) * 8 - 1)
     hashes = hashes.astype(np.uint64)
-    found = np.ones(len(hashes), bool)
-    for slots in (hashes & mask, (hashes >> np.uint64(32)) & mask):
-        found &= (filled[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) != 0
+    at = np.arange(len(hashes))
+    for shift in (0, 32):  # the second bit is looked up for those alone that have the first
+        slots = (hashes[at] >> np.uint64(shift)) & mask
+        at = at[(filled[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) != 0]
+    found = np.zeros(len(hashes), bool)
+    found[at] = True
     return found

@@ -7,6 +7,7 @@ import os
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -16,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from coreloom.llm import ann, chat_format, exact_dedup, language_id, line_dedup, lm_scoring, minhash, mixing, packing, queries, substring_dedup
-from coreloom.llm.hashing import Words, sliding_min
+from coreloom.llm.hashing import Words, digest128, mix64, sliding_min
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -259,6 +260,46 @@ def test_short_lines_go_by_equality(spark, tmp_path):
     assert got[2]["kept_sha256"] == hashlib.sha256(left[2].encode()).hexdigest()
 
 
+@settings(max_examples=200)
+@given(st.lists(st.text(alphabet="ab \t\n\x0b\x0c\r\x1c\x85é第𝄞", max_size=14), min_size=1, max_size=5), st.integers(0, 3))
+def test_lines_are_those_of_the_strings(texts, least):
+    own = line_dedup.Lines([t.encode() for t in texts], least)
+    want = [(i, k, x.strip(" \t\r\x0b\x0c")) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n"))]
+    want = [x for x in want if len(x[2]) >= least]
+    every = np.arange(len(want))
+    assert list(zip(own.text.tolist(), own.number.tolist(), [x.decode() for x in own.content(every)])) == want
+    assert own.length.tolist() == [len(x) for _, _, x in want]
+    kind = mix64(np.arange(1, 0x110001, dtype=np.uint64)) & np.uint64(15)
+    counts = [np.bincount(kind[np.array([ord(c) for c in x], int)].astype(int), minlength=16) % 16 for _, _, x in want]
+    assert own.signature(every).tolist() == [sum(int(n) << 4 * k for k, n in enumerate(c)) for c in counts]
+    one = [line_dedup.Lines([x.encode()], 0).index_keys(2)[0].tolist() for _, _, x in want if x]
+    assert own.index_keys(2)[own.length > 0].tolist() == one  # a segment's key holds wherever it lies
+
+
+def test_lines_without_a_probe_are_not_digested(monkeypatch):
+    import pyarrow as pa
+
+    texts = [f"line number {i} of a text\nthat is long enough to be probed {i * i}" for i in range(50)]
+    batch, found = pa.RecordBatch.from_pydict({"text": pa.array(texts)}), []
+    monkeypatch.setattr(line_dedup, "digest128", lambda parts: found.extend(parts := list(parts)) or digest128(parts))
+    rows = lambda bits: sum(b.num_rows for b in line_dedup._probes(2, 20, SimpleNamespace(value=bits))(iter([batch])))
+    assert rows(bytes(8)) == 0 and not found
+    assert rows(b"\xff" * 8) > 100 and len(found) == 100
+
+
+@pytest.mark.parametrize("bucket", [4000, 2])
+def test_lone_entries_stay_out_of_the_shuffle(spark, bucket, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, "".join(r.choice("abcdefgh ") for _ in range(60)).strip()) for i in range(300)]
+    rows += [(300, rows[7][1] + "x"), (301, "y" + rows[7][1])]
+    met, dealt = [], line_dedup._dealt
+    monkeypatch.setattr(line_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(line_dedup, "_dealt", lambda some, *a: met.append(some.count()) or dealt(some, *a))
+    got = {x["doc_id"]: (x["n_dropped"], x["n_links"]) for x in line_dedup.line_digests(docs(spark, rows)).collect()}
+    assert got == {i: (int(i >= 300), 2 * (i in (7, 300, 301))) for i in range(302)}
+    assert met[0] < 30  # of 906 index entries
+
+
 # 3
 
 
