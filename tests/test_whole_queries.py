@@ -53,3 +53,17 @@ def test_srht_rows_of_any_id(spark, tmp_path):
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
     with pytest.raises(Exception, match="no row of 32768"):
         reduce.srht_sketch(cells, 32768, 16, 41).collect()
+
+
+def test_srht_beyond_32768_rows(spark, tmp_path):
+    from conftest import oracle, same
+
+    from coreloom.operators import reduce
+
+    rows = [(k, 1 + k * 7 % 50, 900 + k % 1000 / 10) for k in range(0, 40_000, 3)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    sql = registry.ORACLES["srht_sketch"].replace("range(32768)", "range(65536)")  # 40,000 padded; the SQL holds 32,768
+    same(registry.QUERIES["srht_sketch"](spark, str(tmp_path)).toPandas(), oracle(sql, str(tmp_path)))
+    # With every row of the transform taken, a sketch keeps the mass of each column: no two rows may share a Hadamard column.
+    cells = spark.createDataFrame([(5, 1, 2.0), (5 + 32768, 1, 3.0)], "row long, col long, val double")
+    assert sum(r["val"] ** 2 for r in reduce.srht_sketch(cells, 65536, 65536, 41).collect()) == pytest.approx(13)
